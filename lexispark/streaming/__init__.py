@@ -1,0 +1 @@
+"""Empty on purpose: the index has bounded tables only, so there are no streaming operators."""
