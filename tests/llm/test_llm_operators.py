@@ -170,6 +170,38 @@ def test_line_dedup_recall_on_documents(spark):
     same(got, line_truth(rows))
 
 
+def passage_lines(seed: int, pairs: int) -> list[tuple]:
+    """Lines around one long passage, each with a tail of its own, and a variant of each: like its original and no other line."""
+    rng = random.Random(seed)
+    passage, lines = prose(rng, 40), []
+    for _ in range(pairs):
+        tail = prose(rng, 16)
+        lines += [f"{passage} {tail}", f"{passage} {tail} {prose(rng, 3)}"]
+    rng.shuffle(lines)
+    return [(i, x, "xx", "s", None) for i, x in enumerate(lines)]
+
+
+def test_line_dedup_links_in_large_buckets(spark):
+    rows = passage_lines(9, 150)
+    got = line_dedup.line_groups(spark.createDataFrame(rows, SCHEMA)).select("k", "line_no", "keep_k", "keep_line_no", "kept")
+    want = line_truth(rows)
+    assert sum(w[4] for w in want) == 150
+    same(got, want)
+
+
+def test_line_dedup_rare_shingles(spark):
+    rows = [(x[0], x[1]) for x in passage_lines(4, 20)] + [(99, "short"), (98, "")]
+    got = {}
+    for h, n, token in line_dedup.rare_shingles(spark.createDataFrame(rows, "h long, line string"), 8, 0.8).collect():
+        got.setdefault(h, (n, set()))[1].add(token)
+    sets = {h: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for h, x in rows}
+    assert all(n == len(sets[h]) and len(t) <= n - 0.8 * n + 1 for h, (n, t) in got.items())
+    for a in got:
+        for b in got:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                assert got[a][1] & got[b][1]
+
+
 def test_decontaminate(spark):
     rows = some_docs()
     items = [(0, "The And ing"), (1, rows[5][1]), (2, None), (3, "--"), (4, rows[5][1]), (None, rows[6][1]), (4, rows[5][1]), (5, "aaa bbb"), (6, " ".join(prose(random.Random(2), 40).split()[:14]))]
