@@ -173,10 +173,10 @@ def test_line_dedup_recall_on_documents(spark):
 def passage_lines(seed: int, pairs: int) -> list[tuple]:
     """Lines around one long passage, each with a tail of its own, and a variant of each: like its original and no other line."""
     rng = random.Random(seed)
-    passage, lines = prose(rng, 40), []
+    passage, lines = prose(rng, 60), []
     for _ in range(pairs):
         tail = prose(rng, 16)
-        lines += [f"{passage} {tail}", f"{passage} {tail} {prose(rng, 3)}"]
+        lines += [f"{passage} {tail}", f"{passage} {tail} {prose(rng, 5)}"]
     rng.shuffle(lines)
     return [(i, x, "xx", "s", None) for i, x in enumerate(lines)]
 
