@@ -1,7 +1,9 @@
 """Language ID by compression: each language has a zstandard raw-content dictionary; the smallest encoding wins.
 
 Fitting takes a bounded sample of labelled rows: of each language the ``per_language`` texts first in the order of a hash,
-the first ``text_bytes`` bytes of each, cut to the same dictionary size for every language. At most ``max_languages`` languages
+the first ``text_bytes`` bytes of each, up to ``dict_bytes`` bytes in all. Every language keeps its own sample, be it short: none is cut to another's
+size, so a rare language or a mislabelled row takes nothing from the others. A shorter dictionary saves less, so sizes aren't
+normalised: a language of little text wins where its own words tell, and else the others do. At most ``max_languages`` languages
 are learned (the most frequent ones); more raise an error rather than being dropped. So dictionaries are bounded by
 max_languages x dict_bytes and may go to the executors.
 
@@ -46,8 +48,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     for row in picked.orderBy("lang", F.desc("r")).select("lang", "text").toLocalIterator():
         parts.setdefault(row["lang"], []).append(row["text"].lower().encode()[:text_bytes])
     whole = {k: b"\n".join(v) for k, v in parts.items()}
-    size = min([dict_bytes, *map(len, whole.values())]) if whole else 0
-    return {k: v[-max(size, 8):] for k, v in whole.items()}
+    return {k: v[-dict_bytes:] for k, v in whole.items()}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", chunk: int = 4096, search: int = 4, gain: float = 5.0, min_score: float = 0.005) -> DataFrame:

@@ -415,6 +415,20 @@ def test_lang_id(spark):
     assert {r["lang_pred"] for r in lang_id.predict(odd, lang_id.fit(odd)).collect()} == {"und"}
 
 
+def test_lang_id_with_rare_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = lang_id.held_out(F.col("doc_id"))
+    whole = lang_id.fit(docs.where(~held))
+    rare = spark.createDataFrame([(-1, "ok then", "xx"), (-2, "a", "yy"), (-3, "η γλώσσα αυτή έχει λίγα κείμενα και λέξεις", "el")], "doc_id long, text string, lang string")
+    model = lang_id.fit(docs.where(~held).union(rare))
+    assert {k: model[k] for k in whole} == whole and sorted({*model} - {*whole}) == ["el", "xx", "yy"]
+    got = lang_id.predict(docs.where(held).limit(200), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97
+    assert sum(r["accepted"] for r in got) / len(got) > 0.95
+    (greek,) = lang_id.predict(spark.createDataFrame([(1, "αυτή η γλώσσα έχει λέξεις και κείμενα")], "doc_id long, text string"), model).collect()
+    assert greek["lang_pred"] == "el" and greek["accepted"]
+
+
 def test_empty_tables(spark):
     none = table(spark, some_docs()).limit(0)
     assert suffix_dedup.suffix_dedup(none).count() == 0
