@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm import chat, decontaminate, exact_dedup, lang_id, line_dedup, packing, simhash, suffix_dedup, url_filter, warc
@@ -43,11 +43,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table's rows, and conversation -7, as messages folded from an event log."""
+    """The table's rows, and conversation -7, as messages folded from an event log.
+
+    Every row is a message of its own, also where rows share a turn or repeat: its position is its number in the conversation by
+    turn, role and text. Null turns come last, as in the SQL.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
+    events = rows.unionByName(extra).withColumn("turn", place).select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
     return chat.fold(events)
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexispark.components import components
-from lexispark.llm import chat, decontaminate, exact_dedup, lang_id, line_dedup, packing, simhash, suffix_dedup, url_filter, warc
+from lexispark.llm import chat, decontaminate, exact_dedup, lang_id, line_dedup, packing, queries, simhash, suffix_dedup, url_filter, warc
 from lexispark.scratch import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -365,6 +365,22 @@ def test_chat_round_trip(spark):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_chat_query_keeps_every_row(spark, tmp_path):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "user", None), (1, None, "user", "y"), (1, None, "assistant", "x"), (1, None, None, "z"), (2, 0, "user", "one"), (2, 0, "user", "one"), (None, 0, "user", "n"), (None, 0, "user", "m")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = "\\### Assistant: </turn> ok"
+    by = defaultdict(list)
+    for c, t, role, text in [*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)]:
+        by[c].append((t is None, t or 0, role or "", text or ""))
+    want = []
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for c, ms in by.items():
+        ms.sort()
+        learned = "".join(x for *_, role, x in ms if role == "assistant")
+        want.append((c, len(ms), sha("".join(f"{role}\n{x}\n" for *_, role, x in ms)), len(learned), sha(learned)))
+    same(queries.op7_chat(spark, str(tmp_path)).drop("formatted_chars"), want)
+
+
 def test_url_filter(spark):
     rng = random.Random(8)
     hosts = ["example.com", "a.example.com", "WWW.a.Example.com", "badexample.com", "com", "org", "x.net", "example.net", "", "a..com", "com.evil"]
