@@ -189,6 +189,18 @@ def test_line_dedup_links_in_large_buckets(spark):
     same(got, want)
 
 
+def test_line_dedup_without_spaces(spark):
+    rng, lines = random.Random(12), []
+    for at in (0, 0, 1, 7, 30, 30, 60):
+        for alphabet in ("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+            x = "".join(rng.choices(alphabet, k=120))
+            lines += [x, x[:at] + "文" + x[at:], x[:at] + x[at + 1 :]]
+    rows = [(i, x, "zh", "s", None) for i, x in enumerate(lines)]
+    want = line_truth(rows)
+    assert sum(w[4] for w in want) == len(lines) / 3
+    same(line_dedup.line_groups(spark.createDataFrame(rows, SCHEMA)).select("k", "line_no", "keep_k", "keep_line_no", "kept"), want)
+
+
 def test_line_dedup_rare_shingles(spark):
     rows = [(x[0], x[1]) for x in passage_lines(4, 20)] + [(99, "short"), (98, "")]
     got = {}
