@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.components import components
@@ -173,13 +173,28 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, blocks: int = 6, tile: in
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, blocks: int = 6, width: int = 3, tile: int = 4096) -> DataFrame:
-    """One row per document: key, fingerprint (16 hex digits), component_id (smallest key reachable over links)."""
-    d = spill(fingerprints(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), "text", width), "fingerprints")
-    each = spill(d.groupBy("fp").agg(F.min("k").alias("least")), "distinct-fingerprints")
+def _labelled(docs: DataFrame, text: str, radius: int, blocks: int, width: int, tile: int, least: str) -> tuple[DataFrame, DataFrame]:
+    """docs with fp instead of text, and fp, root of all fingerprints with the least value of the expression ``least`` in the group."""
+    d = spill(fingerprints(docs, text, width), "fingerprints")
+    each = spill(d.groupBy("fp").agg(F.min(F.expr(least)).alias("least")), "distinct-fingerprints")
     roots = components(link_fingerprints(each, radius, blocks, tile))
     named = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = spill(named, "roots")
+    return d, spill(named, "roots")
+
+
+def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, blocks: int = 6, width: int = 3, tile: int = 4096) -> DataFrame:
+    """One row per document: key, fingerprint (16 hex digits), component_id (smallest key reachable over links)."""
+    d, named = _labelled(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), "text", radius, blocks, width, tile, "k")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
     return d.join(labels, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, blocks: int = 6, width: int = 3, tile: int = 4096) -> DataFrame:
+    """One row of each group: that of the smallest key (null keys last), then of the least hash of the text, then by the other columns. All columns stay."""
+    marks = {"_n": F.col(key).isNull(), "_k": F.coalesce(F.col(key), F.lit(0)), "_d": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
+    marked = docs.withColumns(marks)
+    _, named = _labelled(marked.select(*marks, F.col(text).alias("text")), "text", radius, blocks, width, tile, "struct(_n, _k, _d)")
+    stay = named.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    first = Window.partitionBy(*marks).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(stay, list(marks), "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
