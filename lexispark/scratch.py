@@ -1,11 +1,14 @@
 """Written intermediate tables in the folder that all machines of the cluster share.
 
 An executor can be lost at any time; what is written here is never recomputed. The folder is the session's
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary folder of this process is taken.
+``spark.checkpoint.dir``. Where that is unset a temporary folder is taken in local mode (tests, a laptop), where driver and tasks are one
+process; a cluster without a shared folder is an error, not a silent loss.
 """
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -16,9 +19,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a folder of this process where none is set."""
+    """The cluster's shared folder, or in local mode a folder of this process where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share; it is unset on {master}")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="lexispark-"))
         path = _own[0]
@@ -37,7 +43,29 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._spilled = path
+    return again
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`spill` returned and that nothing reads any more."""
+    for df in tables:
+        path = df._spilled
+        _delete(df.sparkSession, path)
+        if path in _written:
+            _written.remove(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of frames that are no longer referenced: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def mark() -> int:
@@ -45,11 +73,9 @@ def mark() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, upto: int | None = None) -> None:
-    """Delete intermediate tables written before the mark ``upto`` (all, if None). Frames that read them end to work."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_written) if upto is None else upto
-    for path in _written[:n]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    del _written[:n]
+def release(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Delete intermediate tables written between two marks (all, if none are given). Frames that read them end to work."""
+    for path in _written[since:upto]:
+        _delete(spark, path)
+    del _written[since:upto]
+    sweep(spark)
