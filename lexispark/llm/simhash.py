@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.components import components
+from lexispark.llm.components import components
 from lexispark.scratch import spill
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
