@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_BITS, WIDTH = 1 << 27, 1 << 15  # WIDTH is fixed: bits in one value of bitmap_construct_agg
+MOST_BITS, WIDTH = 1 << 27, 1 << 15  # WIDTH: bits in a row of the bitmap, 512 numbers of 64 bits
 
 
 def passing(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
@@ -21,11 +21,14 @@ def passing(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
         bits *= 2
     place = lambda c: F.pmod(c, F.lit(bits))
     at = members.select(place(F.col(f"`{name}`")).alias("p"))
-    maps = at.groupBy(F.expr(f"p div {WIDTH}").alias("sieve_part")).agg(F.bitmap_construct_agg(F.col("p") % WIDTH).alias("sieve_bits"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    words = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    by_word = F.map_from_entries(F.collect_list(F.struct((F.col("word") % 512).cast("int"), "bits")))
+    maps = words.groupBy(F.shiftright("word", 9).alias("sieve_part")).agg(by_word.alias("m"))
+    maps = maps.select("sieve_part", F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("sieve_bits"))
     p = place(key)
     part = F.shiftright(p, 15)  # by WIDTH
-    byte = F.conv(F.hex(F.substring("sieve_bits", F.shiftright(p % WIDTH, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (p % 8).cast("int"))) != 0
+    hit = F.getbit(F.get("sieve_bits", F.shiftright(p % WIDTH, 6).cast("int")), (p % 64).cast("int")) == 1
     tested = df.join(F.broadcast(maps), part == F.col("sieve_part"), "left")
     return tested.withColumn("may_be_member", F.coalesce(hit, F.lit(False))).drop("sieve_part", "sieve_bits")
 
