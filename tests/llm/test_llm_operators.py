@@ -347,6 +347,18 @@ def test_warc(spark):
     assert all(r["payload_bytes"] == len(r["payload"]) for r in got)
     stored = spark.read.parquet(f"{path}/headers")
     assert {r["header"] for r in got} == {r["header"] for r in stored.collect()}
+    records = {part: [x for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{path}/{part}").collect() for x in warc.parse_warc(bytes(r["content"]))] for part in ("payloads", "revisits")}
+    assert len(records["payloads"]) == len({x or "" for *_, x in pages}) and len(records["revisits"]) == sum(w[2] == "revisit" for w in want)
+    for part, kind in (("payloads", "response"), ("revisits", "revisit")):
+        for head, block in records[part]:
+            assert head["WARC-Type"] == kind and head["WARC-Date"] and int(head["Content-Length"]) == len(block) and block.startswith(b"HTTP/1.1 200 OK")
+
+
+def test_warc_keys_of_another_type(spark):
+    df = spark.createDataFrame([("a<b", "u", "x"), ("z", "u", "x"), (None, None, None)], "page_id string, url string, html string")
+    path = new_path(spark, "test-warc")
+    warc.write_archive(df.replace("a<b", "ab"), path)
+    same(warc.read_archive(spark, path).select("page_id", "record_type", "refers_to"), [("ab", "revisit", "z"), ("z", "response", None), (None, "response", None)])
 
 
 def test_warc_small_payloads_and_empty(spark):
