@@ -9,7 +9,7 @@ fingerprints are compared; copies were merged before by an aggregate with map-si
 
 Comparison: fingerprints that share a key are transposed into bit planes, 64 of them to a word. A query is compared with
 a block of words plane by plane: XOR gives the differing fingerprints, and two counter planes plus an overflow plane take them up
-by carry-save addition. Once every lane of a block has overflowed the radius the block is left. A local union-find keeps a link
+by carry-save addition. Small groups, most by far, share bit planes of the differences of their pairs, a lane for each. Once every lane of a block has overflowed the radius the block is left. A local union-find keeps a link
 to one representative for each, so what a task emits grows with its rows, not with pairs. Keys with over ``tile`` fingerprints are dealt
 into tiles by hash, and each pair of tiles is a task's unit of its own: no key's fingerprints meet in one task beyond 2 x tile.
 
@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.components import components
+from lexispark.llm.sieve import passing
 from lexispark.scratch import spill
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LITTLE = np.dtype("<u8")
+SMALL = 24  # groups of so many fingerprints are compared pair by pair in common bit planes, larger ones query by query: the same counters either way
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -80,17 +82,16 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(LITTLE)
 
 
-def within(query: int, sliced: np.ndarray, n: int, radius: int = 3, block: int = 64) -> np.ndarray:
-    """Lanes of the bit planes within the radius (at most 3) of the query, by carry-save counting."""
+def few_bits(differs: np.ndarray, radius: int = 3, block: int = 64) -> np.ndarray:
+    """Lanes with at most ``radius`` (0 to 3) bits set in all of the 64 bit planes, by carry-save counting; blocks whose lanes are all past that are left."""
     found = []
-    for a in range(0, sliced.shape[1], block):
-        part = sliced[:, a : a + block]
+    for a in range(0, differs.shape[1], block):
+        part = differs[:, a : a + block]
         one = np.zeros(part.shape[1], np.uint64)
         two, over = one.copy(), one.copy()
         for bit in range(64):
-            differs = part[bit] ^ ONES if query >> bit & 1 else part[bit]
-            carry = one & differs
-            one ^= differs
+            carry = one & part[bit]
+            one ^= part[bit]
             over |= two & carry
             two ^= carry
             if bit % 8 == 7 and (over == ONES).all():
@@ -100,7 +101,13 @@ def within(query: int, sliced: np.ndarray, n: int, radius: int = 3, block: int =
                 over |= two & one if radius == 2 else two if radius == 1 else two | one
             near = np.unpackbits((~over).view(np.uint8), bitorder="little")
             found.append(np.flatnonzero(near) + a * 64)
-    got = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def within(query: int, sliced: np.ndarray, n: int, radius: int = 3) -> np.ndarray:
+    """Lanes of the bit planes within the radius of the query."""
+    flip = np.array([ONES if query >> bit & 1 else 0 for bit in range(64)], np.uint64)
+    got = few_bits(sliced ^ flip[:, None], radius)
     return got[got < n]
 
 
@@ -110,14 +117,9 @@ def links(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, n
     two = side.any() and not side.all()
     targets = np.flatnonzero(side) if two else label.copy()
     queries = (np.flatnonzero(~side) if two else label).tolist()
-    pool = fps[targets]
-    if len(targets) <= 64:
-        near = (np.bitwise_count(pool ^ fps[q]) <= radius for q in queries)
-    else:
-        sliced = planes(pool)
-        near = (within(int(fps[q]), sliced, len(targets), radius) for q in queries)
-    for q, got in zip(queries, near, strict=True):
-        met = label[targets[got]]
+    sliced = planes(fps[targets])
+    for q in queries:
+        met = label[targets[within(int(fps[q]), sliced, len(targets), radius)]]
         if (met != label[q]).any():
             met = np.unique(np.append(met, label[q]))
             label[np.isin(label, met)] = met[0]
@@ -125,6 +127,31 @@ def links(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return moved, label[moved]
 
 
+def links_of_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`links` for many groups of few fingerprints each, whose pairs share one set of bit planes, a lane for each pair."""
+    got: list[list[np.ndarray]] = [[], []]
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(size, 1)
+        first = starts[sizes == size]
+        per = max(1, 65536 // len(i))
+        for a in range(0, len(first), per):
+            base = first[a : a + per, None]
+            u, v = (base + i).ravel(), (base + j).ravel()
+            near = few_bits(planes(fps[u] ^ fps[v]), radius)
+            near = near[near < len(u)]
+            got[0].append(u[near])
+            got[1].append(v[near])
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in got)
+    root = {}
+    for x, y in zip(u.tolist(), v.tolist(), strict=True):
+        while root.get(x, x) != x:
+            x = root[x]
+        while root.get(y, y) != y:
+            y = root[y]
+        root[max(x, y)] = min(x, y)
+    return np.array([*root.keys()], np.int64), np.array([*root.values()], np.int64)
+
+
 def link_fingerprints(fps: DataFrame, radius: int = 3, blocks: int = 6, tile: int = 4096) -> DataFrame:
     """Links (u, v) between different fingerprints of column fp that connect all within the radius (0 to 3)."""
     if not 0 <= radius <= 3 or not radius < blocks <= 16:
@@ -147,10 +174,11 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, blocks: int = 6, tile: in
         def done(group: np.ndarray, fps: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
             ends = np.append(starts[1:], len(group))
-            two = starts[ends - starts == 2]  # most groups: one comparison each, all at once
-            near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius]
-            u, v = [fps[near]], [fps[near + 1]]
-            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+            small = ends - starts <= SMALL  # most groups; tiles of a key have sides and are never mixed with them
+            small &= np.maximum.reduceat(side.astype(np.int8), starts) == 0
+            i, r = links_of_small(fps, starts[small], (ends - starts)[small], radius)
+            u, v = [fps[i]], [fps[r]]
+            for s, e in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
                 i, r = links(fps[s:e], side[s:e], radius)
                 u.append(fps[s:e][i])
                 v.append(fps[s:e][r])
@@ -191,10 +219,18 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rad
 
 
 def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, blocks: int = 6, width: int = 3, tile: int = 4096) -> DataFrame:
-    """One row of each group: that of the smallest key (null keys last), then of the least hash of the text, then by the other columns. All columns stay."""
+    """One row of each group: that of the smallest key (null keys last), then of the least hash of the text, then by the other columns. All columns stay.
+
+    Only rows that go, and rows that have a double, are shuffled; a bitmap of these tells the others on the map side.
+    """
     marks = {"_n": F.col(key).isNull(), "_k": F.coalesce(F.col(key), F.lit(0)), "_d": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
-    marked = docs.withColumns(marks)
-    _, named = _labelled(marked.select(*marks, F.col(text).alias("text")), "text", radius, blocks, width, tile, "struct(_n, _k, _d)")
-    stay = named.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    first = Window.partitionBy(*marks).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return marked.join(stay, list(marks), "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(c) for c, v in marks.items()], F.col(text).alias("text"))
+    d, named = _labelled(own.select(*marks, "text"), "text", radius, blocks, width, tile, "struct(_n, _k, _d)")
+    stay = spill(named.groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "rows-that-stay")
+    mark = F.xxhash64(*marks)
+    twice = d.groupBy(*marks).agg(F.count("*").alias("c")).where("c > 1").select(mark.alias("x"))
+    doubt = spill(d.join(stay, list(marks), "left_anti").select(mark.alias("x")).union(twice).distinct(), "rows-in-doubt")
+    tested = passing(own.drop("text"), mark, doubt)
+    first = Window.partitionBy(*marks).orderBy("row")
+    chosen = tested.where("may_be_member").join(stay, list(marks), "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return tested.where("not may_be_member").select("row.*").unionByName(chosen.select("row.*"))
