@@ -1,4 +1,7 @@
-"""Encoded lists as a table, one row a term, and back: the codec in Arrow batches."""
+"""Encoded lists as a table, one row a list, and back: the codec in Arrow batches.
+
+A list is the unit of encoding, as in the format; the rows of one list have to fit in a task. The row form of the postings has no such limit.
+"""
 
 from __future__ import annotations
 
@@ -12,36 +15,42 @@ from pyspark.sql import functions as F
 from lexispark.functions import codec
 
 BLOBS = "term string, termid long, df long, cf long, sum_last long, docids binary, freqs binary, positions binary, docid_bits long, freq_bits long, position_bits long"
+DIRECT_BLOBS = "docid long, n_terms long, length long, termids binary, freqs binary, termid_bits long, freq_bits long"
+
 
+def _batch(rows: list[tuple], columns: list[tuple[str, pa.DataType]], head: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*head, *[pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(columns)]], names=[*names, *[c for c, _ in columns]])
 
-def encode_lists(postings: DataFrame, n_docs: int, q: int) -> DataFrame:
-    """Postings (term, termid, docid, tf, positions) to one row of bit strings per term. A list is the unit of encoding."""
-    row = F.struct(F.col("docid"), F.col("tf"), F.col("positions"))
+
+def encode_lists(postings: DataFrame, n_docs: int, q: int, positions: bool = True) -> DataFrame:
+    """Postings (term, termid, docid, tf, positions) to one row of bit strings per term; without positions these are null and of no bits."""
+    row = F.struct(F.col("docid"), F.col("tf"), *[F.col("positions")] * positions)
     lists = postings.groupBy("term", "termid").agg(F.sort_array(F.collect_list(row)).alias("p"), F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    flat = lists.select("term", "termid", "df", "cf", F.col("p.docid").alias("d"), F.col("p.tf").alias("f"), F.col("p.positions").alias("x"))
+    flat = lists.select("term", "termid", "df", "cf", F.col("p.docid").alias("d"), F.col("p.tf").alias("f"), *[F.flatten("p.positions").alias("x")] * positions)
+    columns = [("sum_last", pa.int64()), ("docids", pa.binary()), ("freqs", pa.binary()), ("positions", pa.binary()), ("docid_bits", pa.int64()), ("freq_bits", pa.int64()), ("position_bits", pa.int64())]
+    names = ["term", "termid", "df", "cf"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for cf, d, f, x in zip(*(b.column(c) for c in ("cf", "d", "f", "x")), strict=True):
-                pos = x.as_py()
-                bits = (
-                    codec.encode_docids(d.values.to_numpy(zero_copy_only=False), n_docs, q),
-                    codec.encode_freqs(f.values.to_numpy(zero_copy_only=False), cf.as_py(), q),
-                    codec.encode_positions([np.asarray(p) for p in pos], q),
-                )
-                out.append((sum(p[-1] for p in pos), *map(codec.pack, bits), *map(len, bits)))
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            cols = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("term", "termid", "df", "cf")), *cols], names=["term", "termid", "df", "cf", "sum_last", "docids", "freqs", "positions", "docid_bits", "freq_bits", "position_bits"])
+            for k, cf in enumerate(b.column("cf").to_pylist()):
+                d, f = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("d", "f"))
+                docids, freqs = codec.encode_docids(d, n_docs, q), codec.encode_freqs(f, cf, q)
+                if positions:
+                    x = b.column("x")[k].values.to_numpy(zero_copy_only=False)
+                    bits = codec.encode_flat_positions(x, f, q)
+                    out.append((int(x[np.cumsum(f) - 1].sum()), codec.pack(docids), codec.pack(freqs), codec.pack(bits), len(docids), len(freqs), len(bits)))
+                else:
+                    out.append((0, codec.pack(docids), codec.pack(freqs), None, len(docids), len(freqs), 0))
+            yield _batch(out, columns, [b.column(c) for c in names], names)
 
     return flat.mapInArrow(run, BLOBS)
 
 
 def decode_lists(blobs: DataFrame, n_docs: int, q: int, positions: bool = True) -> DataFrame:
-    """Bit strings back to postings (term, docid, tf, positions); positions are null if not asked for."""
-    names = ["term", "docid", "tf", "positions"]
-    need = ["term", "df", "cf", "sum_last", "docids", "freqs", *["positions"] * positions]
+    """Bit strings back to postings (term, termid, docid, tf, positions); positions are null if not asked for."""
+    names = ["term", "termid", "docid", "tf", "positions"]
+    need = ["term", "termid", "df", "cf", "sum_last", "docids", "freqs", *["positions"] * positions]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -51,8 +60,7 @@ def decode_lists(blobs: DataFrame, n_docs: int, q: int, positions: bool = True)
                 df, cf = row["df"], row["cf"]
                 d = codec.decode_docids(codec.unpack(row["docids"]), df, n_docs, q)
                 f = codec.decode_freqs(codec.unpack(row["freqs"]), df, cf, q)
-                x = codec.decode_positions(codec.unpack(row["positions"]), f, df + row["sum_last"], q) if positions else [None] * df
-                out.append(([row["term"]] * df, d, f, x))
+                out.append((row["term"], row["termid"], d, f, codec.decode_flat_positions(codec.unpack(row["positions"]), f, df + row["sum_last"], q) if positions else f))
                 size += df
                 if size > 50_000:
                     yield batch_of(out)
@@ -61,30 +69,73 @@ def decode_lists(blobs: DataFrame, n_docs: int, q: int, positions: bool = True)
                 yield batch_of(out)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        terms, xs = [t for o in out for t in o[0]], [x for o in out for x in o[3]]
-        d, f = (np.concatenate([o[i] for o in out]) for i in (1, 2))
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(d, pa.int64()), pa.array(f, pa.int64()), pa.array(xs, pa.list_(pa.int32()))], names=names)
+        n = [len(o[2]) for o in out]
+        d, f = (np.concatenate([o[i] for o in out]) for i in (2, 3))
+        if positions:
+            x = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(f)]), pa.int32()), pa.array(np.concatenate([o[4] for o in out]), pa.int32()))
+        else:
+            x = pa.nulls(len(d), pa.list_(pa.int32()))
+        terms = pa.array([o[0] for o in out], pa.string()).take(pa.array(np.repeat(np.arange(len(out)), n)))
+        return pa.RecordBatch.from_arrays([terms, pa.array(np.repeat([o[1] for o in out], n), pa.int64()), pa.array(d, pa.int64()), pa.array(f, pa.int64()), x], names=names)
+
+    return blobs.select(*need).mapInArrow(run, "term string, termid long, docid long, tf long, positions array<int>")
+
+
+def encode_direct(direct: DataFrame, doc_lengths: DataFrame, n_terms: int, q: int) -> DataFrame:
+    """The direct index (docid, termid, tf) to one row of bit strings per document, empty documents too; frequencies are bounded by the document's length."""
+    lists = direct.groupBy("docid").agg(F.sort_array(F.collect_list(F.struct("termid", "tf"))).alias("p"))
+    every = doc_lengths.select("docid", "length").join(lists, "docid", "left")
+    none = F.array().cast("array<bigint>")
+    flat = every.select("docid", "length", F.coalesce("p.termid", none).alias("d"), F.coalesce("p.tf", none).alias("f"))
+    flat = flat.select("docid", F.size("d").cast("long").alias("n_terms"), "length", "d", "f")
+    columns = [("termids", pa.binary()), ("freqs", pa.binary()), ("termid_bits", pa.int64()), ("freq_bits", pa.int64())]
+    names = ["docid", "n_terms", "length"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for k, length in enumerate(b.column("length").to_pylist()):
+                d, f = (b.column(c)[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d", "f"))
+                termids, freqs = codec.encode_docids(d, n_terms, q), codec.encode_freqs(f, length, q)
+                out.append((codec.pack(termids), codec.pack(freqs), len(termids), len(freqs)))
+            yield _batch(out, columns, [b.column(c) for c in names], names)
+
+    return flat.mapInArrow(run, DIRECT_BLOBS)
+
+
+def decode_direct(blobs: DataFrame, n_terms: int, q: int) -> DataFrame:
+    """Bit strings of documents back to (docid, termid, tf)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                out = []
+                for row in b.slice(a, 256).to_pylist():
+                    d = codec.decode_docids(codec.unpack(row["termids"]), row["n_terms"], n_terms, q)
+                    out.append((np.full(len(d), row["docid"]), d, codec.decode_freqs(codec.unpack(row["freqs"]), len(d), row["length"], q)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["docid", "termid", "tf"])
 
-    return blobs.select(*need).mapInArrow(run, "term string, docid long, tf long, positions array<int>")
+    return blobs.select("docid", "n_terms", "length", "termids", "freqs").mapInArrow(run, "docid long, termid long, tf long")
 
 
 def seek_in_lists(blobs: DataFrame, probes: DataFrame, n_docs: int, q: int) -> DataFrame:
-    """next-GEQ on encoded docid lists: probes (term, target) to (term, target, hit)."""
+    """next-GEQ on encoded docid lists: probes (term, target) to (term, target, hit). Few probes of a list follow its pointers; for many the list is read once."""
     asked = probes.groupBy("term").agg(F.collect_list("target").alias("targets"))
     joined = blobs.select("term", "df", "docids").join(asked, "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            terms, targets, hits, past = [], [], [], []
+            terms, targets, hits = [], [], []
             for row in b.to_pylist():
-                d = codec.decode_docids(codec.unpack(row["docids"]), row["df"], n_docs, q)
-                t = np.asarray(row["targets"], np.int64)
-                at = np.searchsorted(d, t)
+                t = row["targets"]
+                if len(t) << q < row["df"]:
+                    found = [codec.next_geq(row["docids"], row["df"], n_docs, q, x) for x in t]
+                else:
+                    d = codec.decode_docids(codec.unpack(row["docids"]), row["df"], n_docs, q)
+                    found = [d[i] if i < len(d) else None for i in np.searchsorted(d, t).tolist()]
                 terms += [row["term"]] * len(t)
-                targets.append(t)
-                hits.append(np.append(d, -1)[at])
-                past.append(at == len(d))
-            if terms:
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.concatenate(targets)), pa.array(np.concatenate(hits), mask=np.concatenate(past))], names=["term", "target", "hit"])
+                targets += t
+                hits += found
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(targets, pa.int64()), pa.array(hits, pa.int64())], names=["term", "target", "hit"])
 
     return joined.mapInArrow(run, "term string, target long, hit long")

@@ -107,8 +107,16 @@ def decode_freqs(bits: np.ndarray, df: int, cf: int, q: int) -> np.ndarray:
 
 def encode_positions(lists: list[np.ndarray], q: int) -> np.ndarray:
     """Positions of all postings of a term: increments inside a posting, the first one plus one; with a header."""
-    x = np.concatenate([np.diff(np.asarray(p, np.int64), prepend=-1) for p in lists])
-    u = len(lists) + sum(int(p[-1]) for p in lists)
+    return encode_flat_positions(np.concatenate(lists), np.array([len(p) for p in lists]), q)
+
+
+def encode_flat_positions(flat: np.ndarray, tfs: np.ndarray, q: int) -> np.ndarray:
+    """As :func:`encode_positions`, of positions one list after the other and the lists' lengths (at least 1 each)."""
+    flat = np.asarray(flat, np.int64)
+    first = np.cumsum(tfs) - tfs
+    x = np.diff(flat, prepend=0)
+    x[first] = flat[first] + 1
+    u = len(tfs) + int(flat[first + tfs - 1].sum())
     n = len(x)
     l = lower_bits(n, u, True)  # noqa: E741
     head = [gamma(l)]
@@ -117,12 +125,96 @@ def encode_positions(lists: list[np.ndarray], q: int) -> np.ndarray:
     return np.concatenate([*head, encode(x, u, q, True, False)])
 
 
-def decode_positions(bits: np.ndarray, tfs: np.ndarray, u: int, q: int) -> list[np.ndarray]:
+def decode_flat_positions(bits: np.ndarray, tfs: np.ndarray, u: int, q: int) -> np.ndarray:
+    """Positions of all postings of a term, one list after the other."""
     l, at = read_gamma(bits, 0)  # noqa: E741
     n = int(tfs.sum())
     if n >> q:
         _, at = read_gamma(bits, at)
     sums = decode(bits[at:], n, u, q, True, False, l)
-    cuts = np.concatenate([[0], np.cumsum(tfs)])
-    before = np.concatenate([[0], sums])[cuts[:-1]]
-    return [sums[a:b] - s - 1 for a, b, s in zip(cuts[:-1], cuts[1:], before, strict=True)]
+    before = np.concatenate([[0], sums])[np.cumsum(tfs) - tfs]
+    return sums - np.repeat(before, tfs) - 1
+
+
+def decode_positions(bits: np.ndarray, tfs: np.ndarray, u: int, q: int) -> list[np.ndarray]:
+    return np.split(decode_flat_positions(bits, tfs, u, q), np.cumsum(tfs)[:-1])
+
+
+def read_fixed(data: bytes, at: int, width: int) -> int:
+    """The number of ``width`` bits at a place in packed bits."""
+    return int.from_bytes(data[at >> 3 : (at + width + 7) >> 3], "little") >> (at & 7) & ((1 << width) - 1)
+
+
+def read_unary(data: bytes, at: int) -> tuple[int, int]:
+    """The number of zeros before the next one, and the place behind it."""
+    for offset, position in ones_from(data, at):
+        return position, at + offset + 1
+    raise ValueError("there is no one left")
+
+
+def ones_from(data: bytes, at: int, chunk: int = 64):
+    """Pairs (offset from ``at``, zeros between ``at`` and it) of all ones from a place in packed bits on, read in chunks of bytes."""
+    begin, seen = at >> 3, 0
+    skip = at & 7
+    for a in range(begin, len(data), chunk):
+        bits = np.unpackbits(np.frombuffer(data[a : a + chunk], np.uint8), bitorder="little")
+        if a == begin:
+            bits[:skip] = 0
+        for offset in (np.flatnonzero(bits) + (a - begin) * 8 - skip).tolist():
+            yield offset, offset - seen
+            seen += 1
+
+
+def next_geq(data: bytes, df: int, n_docs: int, q: int, target: int) -> int | None:
+    """The first docid at or above the target in a packed list, None past the end. A pointer leads to the target's zeros; reading goes on from there."""
+    if df == 0 or target >= n_docs:
+        return None
+    target = max(target, 0)
+    m = df + 1
+    l = lower_bits(m, n_docs, False)  # noqa: E741
+    width, count = pointer_width(m, n_docs, l, False, True), pointer_count(m, n_docs, l, q, False, True)
+    low = width * count
+    k = min(((target >> l) >> q), count)
+    start = read_fixed(data, (k - 1) * width, width) if k else 0
+    passed = k << q  # zeros before start
+    i = start - passed
+    for _, zeros in ones_from(data, low + m * l + start):
+        if i >= df:
+            return None
+        value = ((passed + zeros) << l) | read_fixed(data, low + i * l, l)
+        if value >= target:
+            return value
+        i += 1
+    return None
+
+
+def prefix_sum(data: bytes, n: int, u: int, q: int, i: int, l: int | None = None, at: int = 0) -> int:  # noqa: E741
+    """Sum of the first i + 1 increments of a packed strict list that begins at a place; a pointer leads to the nearest one before."""
+    if i < 0:
+        return 0
+    l = lower_bits(n, u, True) if l is None else l  # noqa: E741
+    width, count = pointer_width(n, u, l, True, False), pointer_count(n, u, l, q, True, False)
+    low = at + width * count
+    k = min((i + 1) >> q, count)
+    start = read_fixed(data, at + (k - 1) * width, width) if k else 0
+    left = i - (k << q)
+    if left < 0:  # the pointer stands right behind the one that is sought
+        place = start - 1
+    else:
+        place = start + next(offset for j, (offset, _) in enumerate(ones_from(data, low + n * l + start)) if j == left)
+    return (((place - i) << l) | read_fixed(data, low + i * l, l)) + i + 1
+
+
+def freq_at(data: bytes, df: int, cf: int, q: int, i: int) -> int:
+    """The i-th frequency of a packed list."""
+    return prefix_sum(data, df, cf, q, i) - prefix_sum(data, df, cf, q, i - 1)
+
+
+def positions_at(data: bytes, before: int, tf: int, cf: int, u: int, q: int) -> list[int]:
+    """Positions of one posting of a packed list of cf positions with bound u; before: frequencies of the list's postings before, summed."""
+    bits = np.unpackbits(np.frombuffer(data[:64], np.uint8), bitorder="little")
+    l, at = read_gamma(bits, 0)  # noqa: E741
+    if cf >> q:
+        _, at = read_gamma(bits, at)
+    base = prefix_sum(data, cf, u, q, before - 1, l, at)
+    return [prefix_sum(data, cf, u, q, before + j, l, at) - base - 1 for j in range(tf)]

@@ -39,7 +39,7 @@ def lexicon_of(postings: DataFrame) -> DataFrame:
     return dense_ids(stats, "term", "termid").select("term", "termid", "df", "cf", "maxtf", "sum_last_position")
 
 
-def dense_ids(df: DataFrame, order: str, name: str, buckets: int = 64) -> DataFrame:
+def dense_ids(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with ``name``: 0, 1, ... by the values of ``order``, which must differ.
 
     Two levels: rows are counted by leading characters, whose running counts (as many as there are different leads) are joined back; the rest
@@ -100,31 +100,33 @@ class TextIndex:
         return self.postings.withColumn("ord", (F.row_number().over(Window.partitionBy("termid").orderBy("docid")) - 1).cast("long"))
 
     def direct(self) -> DataFrame:
-        """The transposed index: docid, termid, tf."""
+        """The transposed index: docid, termid, tf; documents' lists are together and sorted once it's written (:func:`lexispark.sources.store.write_direct`)."""
         return self.postings.select("docid", "termid", "tf")
 
 
 def next_geq(lists: DataFrame, probes: DataFrame, group: str, item: str, target: str = "target") -> DataFrame:
     """For each probe (group, target): hit, the first item of the group's list at or above target; null past the end.
 
-    One union and one window: a running minimum from the back, so a group's rows are sorted once for all of its probes.
+    One union and one window: going down from the largest, the least item so far is the hit, so each row is looked at once.
     """
     rows = lists.select(group, F.col(item).alias("at"), F.lit(1).alias("real")).unionByName(probes.select(group, F.col(target).alias("at"), F.lit(0).alias("real")))
-    ahead = Window.partitionBy(group).orderBy("at").rangeBetween(0, Window.unboundedFollowing)
-    hit = F.min(F.when(F.col("real") == 1, F.col("at"))).over(ahead)
+    down = Window.partitionBy(group).orderBy(F.desc("at"), F.desc("real")).rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.min(F.when(F.col("real") == 1, F.col("at"))).over(down)
     return rows.withColumn("hit", hit).where("real = 0").select(group, F.col("at").alias(target), "hit")
 
 
-def running_offsets(df: DataFrame, order: str, size: str, name: str, width: int = 4096) -> DataFrame:
-    """df with ``name``: the sum of ``size`` over all rows before, by the dense ids ``order``.
+def running_offsets(df: DataFrame, order: str, sizes: dict[str, str], width: int = 4096) -> DataFrame:
+    """df with a column for each item (size: name) of ``sizes``: the sum of ``size`` over all rows before, by the dense ids ``order``.
 
     Two levels: blocks of ``width`` ids are summed first, so the window without partitions sees one row a block.
     """
     block = df.withColumn("_block", F.expr(f"{order} div {width}"))
-    sums = block.groupBy("_block").agg(F.sum(size).alias("_sum"))
-    before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum(size).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return block.withColumn("_inside", inside).join(before, "_block").withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_inside", "_before")
+    sums = block.groupBy("_block").agg(*[F.sum(size).alias(f"_sum_{name}") for size, name in sizes.items()])
+    blocks, rows = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_block", *[F.coalesce(F.sum(f"_sum_{name}").over(blocks), F.lit(0)).alias(f"_before_{name}") for name in sizes.values()])
+    inside = block.withColumns({f"_inside_{name}": F.coalesce(F.sum(size).over(rows), F.lit(0)) for size, name in sizes.items()})
+    out = inside.join(before, "_block").withColumns({name: F.col(f"_before_{name}") + F.col(f"_inside_{name}") for name in sizes.values()})
+    return out.drop("_block", *[f"_{part}_{name}" for name in sizes.values() for part in ("inside", "before")])
 
 
 def merge_lexicons(a: DataFrame, b: DataFrame) -> DataFrame:

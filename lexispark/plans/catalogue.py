@@ -1,4 +1,7 @@
-"""The catalogue of index queries over the documents table, each with its SQL."""
+"""The catalogue of index queries over the documents table, each with its SQL.
+
+The index of a table is built once in a session, written to the shared folder, encoded and transposed there on demand; every query reads the stored tables.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions.blobs import decode_lists, encode_lists, seek_in_lists
+from lexispark.functions import udfs
+from lexispark.functions.blobs import decode_lists, seek_in_lists
 from lexispark.functions.sizes import ceil_log2, docid_sizes, floor_log2, lower_bits, position_header, strict_sizes
-from lexispark.operators.index import TextIndex, lexicon_of, merge_lexicons, next_geq, postings_of, running_offsets, subtract_lexicons, term_partitions, tokens
+from lexispark.operators.index import TextIndex, dense_ids, lexicon_of, merge_lexicons, next_geq, postings_of, running_offsets, subtract_lexicons, term_partitions, tokens
+from lexispark.plans.engine import Engine
 from lexispark.schema import MAX_TERM_LENGTH
+from lexispark.scratch import new_path, shared_dir
+from lexispark.sources import store
 
 TERM, DOC, TERMID, Q, DIRECT_Q, PARTS, K = "the", 7, 1234, 3, 8, 3, 3
 LEX = ["term", "termid", "df", "cf", "maxtf"]
@@ -42,8 +49,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[str], object]) -> Engine:
+    """The engine of a folder that ``write`` fills at the first call in this application."""
+    key = (spark.sparkContext.applicationId + shared_dir(spark), sf_dir, kind)
+    if key not in _built or not store.exists(spark, _built[key]):
+        path = new_path(spark, f"index-{kind}")
+        write(path)
+        _built[key] = path
+    return Engine(spark, _built[key])
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The stored index of the documents, with positions."""
+    return _once(spark, sf_dir, "rows", lambda path: Engine(spark, path).build(documents(spark, sf_dir), positions=True))
+
+
+def transposed(spark: SparkSession, sf_dir: str) -> Engine:
+    e = engine(spark, sf_dir)
+    return e if store.exists(spark, f"{e.path}/direct_entries") else e.transpose()
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> Engine:
+    """The same index as quasi-succinct lists."""
+    return _once(spark, sf_dir, "lists", lambda path: engine(spark, sf_dir).compress(path, positions=True, log2_quantum=Q))
+
+
 def index(spark: SparkSession, sf_dir: str) -> TextIndex:
-    return TextIndex.build(documents(spark, sf_dir))
+    return engine(spark, sf_dir).index()
 
 
 def duck(expr: str) -> str:
@@ -169,7 +204,7 @@ def freq_prefix_sums(spark, sf):
 @query("SELECT docid, termid, termid - coalesce(lag(termid) OVER (PARTITION BY docid ORDER BY termid), 0) AS gap FROM post")
 def direct_termid_gaps(spark, sf):
     before = F.lag("termid").over(Window.partitionBy("docid").orderBy("termid"))
-    return index(spark, sf).direct().select("docid", "termid", (F.col("termid") - F.coalesce(before, F.lit(0))).alias("gap"))
+    return transposed(spark, sf).direct().select("docid", "termid", (F.col("termid") - F.coalesce(before, F.lit(0))).alias("gap"))
 
 
 @query(f"SELECT term, docid, tf FROM post WHERE term = '{TERM}' AND docid = (SELECT min(docid) FROM post WHERE term = '{TERM}' AND docid >= {DOC})")
@@ -177,87 +212,99 @@ def next_geq_single(spark, sf):
     return index(spark, sf).postings_of_term(TERM).where(F.col("docid") >= DOC).orderBy("docid").limit(1).select("term", "docid", "tf")
 
 
-_PROBES = "SELECT term, docid + 1 AS target FROM post"
-_ASOF = "SELECT t.term, t.target, p.docid AS hit FROM ({0}) t ASOF LEFT JOIN post p ON p.term = t.term AND p.docid >= t.target"
+_NEXT = "SELECT term, docid, lead(docid) OVER (PARTITION BY term ORDER BY docid) AS hit, row_number() OVER (PARTITION BY term ORDER BY docid) - 1 AS o FROM post"
 
 
-@query(_ASOF.format(_PROBES))
+@query(f"SELECT term, docid + 1 AS target, hit FROM ({_NEXT})")
 def next_geq_batch(spark, sf):
     """From just behind every posting, the next one of its term."""
     p = index(spark, sf).postings
     return next_geq(p, p.select("term", (F.col("docid") + 1).alias("target")), "term", "docid")
 
 
-_EVERY = f"SELECT term, docid FROM (SELECT term, docid, row_number() OVER (PARTITION BY term ORDER BY docid) - 1 AS o FROM post) WHERE o % {K} = 0"
-
-
-@query(_ASOF.format(f"SELECT term, docid AS target FROM ({_EVERY})"))
+@query(f"SELECT term, docid AS target, docid AS hit FROM ({_NEXT}) WHERE o % {K} = 0")
 def seek_into_every_k(spark, sf):
     """Seeks to every K-th posting land on it."""
     i = index(spark, sf)
     return next_geq(i.postings, i.ordinals().where(F.col("ord") % K == 0).select("term", F.col("docid").alias("target")), "term", "docid")
 
 
-@query(_ASOF.format(f"SELECT term, docid + 1 AS target FROM ({_EVERY})"))
+@query(f"SELECT term, docid + 1 AS target, hit FROM ({_NEXT}) WHERE o % {K} = 0")
 def seek_after_every_k(spark, sf):
     i = index(spark, sf)
     return next_geq(i.postings, i.ordinals().where(F.col("ord") % K == 0).select("term", (F.col("docid") + 1).alias("target")), "term", "docid")
 
 
-@query("""SELECT term, docid, tf, skipped FROM (SELECT term, termid, (termid - coalesce(lag(termid) OVER (ORDER BY termid), -1) - 1)::BIGINT AS skipped
-  FROM lex WHERE term IN (SELECT term FROM post WHERE docid % 2 = 0)) JOIN (SELECT term, docid, tf FROM post WHERE docid % 2 = 0) USING (term)""")
+@query(f"""SELECT term, docid, tf, skipped FROM (SELECT term, (r - coalesce(lag(r) OVER (ORDER BY r), 0) - 1)::BIGINT AS skipped FROM (SELECT term, row_number() OVER (ORDER BY term) AS r, term IN (SELECT term FROM lex) AS has
+  FROM (SELECT term FROM lex UNION SELECT lower(x) FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS x FROM benchmark) WHERE length(x) <= {MAX_TERM_LENGTH})) WHERE has) JOIN post USING (term)""")
 def inverted_iterator(spark, sf):
-    """A full scan of the lists in documents with even numbers: terms without a posting there are skipped and counted."""
+    """A full scan by a lexicon that also has the benchmark's terms: those without a posting in the documents are skipped and counted."""
     i = index(spark, sf)
-    even = i.postings.where("docid % 2 = 0")
-    df = even.groupBy("termid").agg(F.count("*").alias("n"))
-    flagged = i.lexicon.join(df, "termid", "left").select("term", "termid", F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("has"))
-    kept = running_offsets(flagged, "termid", "has", "at").where("has = 1").select("term", "termid", "at")
-    before = kept.select((F.col("at") + 1).alias("at"), F.col("termid").alias("previous"))
-    gaps = kept.join(before, "at", "left").select("term", (F.col("termid") - F.coalesce("previous", F.lit(-1)) - 1).alias("skipped"))
-    return even.join(gaps, "term").select("term", "docid", "tf", "skipped")
+    other = tokens(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id").select("term")
+    has = i.lexicon.select("term", F.lit(1).alias("has")).unionByName(other.select("term", F.lit(0).alias("has"))).groupBy("term").agg(F.max("has").cast("long").alias("has"))
+    kept = running_offsets(dense_ids(has, "term", "rank"), "rank", {"has": "at"}).where("has = 1").select("term", "rank", "at")
+    before = kept.select((F.col("at") + 1).alias("at"), F.col("rank").alias("previous"))
+    gaps = kept.join(before, "at", "left").select("term", (F.col("rank") - F.coalesce("previous", F.lit(-1)) - 1).alias("skipped"))
+    return i.postings.join(gaps, "term").select("term", "docid", "tf", "skipped")
 
 
 @query("SELECT docid, termid, tf FROM post")
 def direct_scan(spark, sf):
-    return index(spark, sf).direct()
+    return transposed(spark, sf).direct()
 
 
 @query(f"SELECT docid, termid, tf FROM post WHERE docid = {DOC}")
 def direct_doc(spark, sf):
-    return index(spark, sf).direct().where(F.col("docid") == DOC)
+    return transposed(spark, sf).direct().where(F.col("docid") == DOC)
 
 
-@query("SELECT t.docid, t.target, p.termid AS hit FROM (SELECT docid, termid + 1 AS target FROM post) t ASOF LEFT JOIN post p ON p.docid = t.docid AND p.termid >= t.target")
+@query("SELECT docid, termid + 1 AS target, lead(termid) OVER (PARTITION BY docid ORDER BY termid) AS hit FROM post")
 def direct_next_geq(spark, sf):
-    d = index(spark, sf).direct()
+    d = transposed(spark, sf).direct()
     return next_geq(d, d.select("docid", (F.col("termid") + 1).alias("target")), "docid", "termid")
 
 
 @query("SELECT docid, termid, tf FROM post WHERE docid BETWEEN 10 AND 19")
 def direct_docid_range(spark, sf):
-    return index(spark, sf).direct().where(F.col("docid").between(10, 19))
+    return transposed(spark, sf).direct().where(F.col("docid").between(10, 19))
 
 
-@query("SELECT count(*)::BIGINT AS missing FROM (SELECT termid, docid, tf FROM post EXCEPT ALL SELECT termid, docid, tf FROM post)")
+_DIRECT = "(SELECT doc_id AS docid, termid, tf FROM (SELECT docid AS doc_id, term, count(*)::BIGINT AS tf FROM tok GROUP BY ALL) JOIN lex USING (term))"
+
+
+@query(f"SELECT count(*)::BIGINT AS missing FROM (SELECT termid, docid, tf FROM post EXCEPT ALL SELECT termid, docid, tf FROM {_DIRECT})")
 def inv_minus_dir(spark, sf):
-    i = index(spark, sf)
-    return i.postings.select("termid", "docid", "tf").exceptAll(i.direct().select("termid", "docid", "tf")).agg(F.count("*").alias("missing"))
+    """Postings of the stored inverted index that the encoded direct index doesn't have."""
+    e = transposed(spark, sf)
+    return e.index().postings.select("termid", "docid", "tf").exceptAll(e.direct_lists().select("termid", "docid", "tf")).agg(F.count("*").alias("missing"))
 
 
-@query("SELECT count(*)::BIGINT AS missing FROM (SELECT termid, docid, tf FROM post EXCEPT ALL SELECT termid, docid, tf FROM post)")
+@query(f"SELECT count(*)::BIGINT AS missing FROM (SELECT termid, docid, tf FROM {_DIRECT} EXCEPT ALL SELECT termid, docid, tf FROM post)")
 def dir_minus_inv(spark, sf):
-    i = index(spark, sf)
-    return i.direct().select("termid", "docid", "tf").exceptAll(i.postings.select("termid", "docid", "tf")).agg(F.count("*").alias("missing"))
+    e = transposed(spark, sf)
+    return e.direct_lists().select("termid", "docid", "tf").exceptAll(e.index().postings.select("termid", "docid", "tf")).agg(F.count("*").alias("missing"))
 
 
 @query("SELECT (SELECT sum(tf)::BIGINT FROM post) AS direct_tokens, (SELECT sum(cf)::BIGINT FROM lex) AS num_tokens, (SELECT sum(tf) FROM post) = (SELECT sum(cf) FROM lex) AS agrees")
 def token_total_check(spark, sf):
-    i = index(spark, sf)
-    both = i.direct().agg(F.sum("tf").alias("direct_tokens")).unionByName(i.lexicon.agg(F.sum("cf").alias("num_tokens")), allowMissingColumns=True)
+    """Tokens of the encoded direct index and of the lexicon."""
+    e = transposed(spark, sf)
+    both = e.direct_lists().agg(F.sum("tf").alias("direct_tokens")).unionByName(e.index().lexicon.agg(F.sum("cf").alias("num_tokens")), allowMissingColumns=True)
     return both.agg(F.max("direct_tokens").alias("direct_tokens"), F.max("num_tokens").alias("num_tokens"), (F.max("direct_tokens") == F.max("num_tokens")).alias("agrees"))
 
 
+@query("SELECT docid, termid, tf FROM post")
+def direct_lists_scan(spark, sf):
+    """The direct index decoded from its lists."""
+    return transposed(spark, sf).direct_lists()
+
+
+@query("SELECT docid, count(*)::BIGINT AS n_terms, sum(tf)::BIGINT AS length FROM post GROUP BY 1")
+def direct_lists_by_doc(spark, sf):
+    """Numbers of terms and tokens of each document that has any, from the encoded direct index."""
+    return transposed(spark, sf).direct_lists().groupBy("docid").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("length"))
+
+
 def _half(spark, sf, odd: int) -> DataFrame:
     return lexicon_of(postings_of(tokens(documents(spark, sf).where(F.col("doc_id") % 2 == odd))))
 
@@ -316,7 +363,7 @@ def ef_pos_size(spark, sf):
 @query(f"SELECT term, {_select(_sized(_PC, True))} FROM (SELECT *, sum(s) OVER (ORDER BY termid ROWS UNBOUNDED PRECEDING)::BIGINT AS carried FROM lex), k")
 def ef_pos_size_carried(spark, sf):
     """With the position bound carried on from term to term."""
-    lex = running_offsets(_lexicon(spark, sf)[1], "termid", "s", "before").withColumn("carried", F.col("before") + F.col("s"))
+    lex = running_offsets(_lexicon(spark, sf)[1], "termid", {"s": "before"}).withColumn("carried", F.col("before") + F.col("s"))
     return lex.select("term", *_columns(_sized(_PC, True)))
 
 
@@ -330,9 +377,7 @@ _BEFORE = "coalesce(sum({0}) OVER (ORDER BY {1} ROWS BETWEEN UNBOUNDED PRECEDING
 
 @query(f"SELECT term, {_BEFORE.format('docid_bits', 'termid')} AS docid_offset, {_BEFORE.format('freq_bits', 'termid')} AS freq_offset, {_BEFORE.format('pos_bits', 'termid')} AS pos_offset FROM ({_BITS})")
 def ef_lexicon_offsets(spark, sf):
-    lex = _bits(_lexicon(spark, sf)[1])
-    for c in ("docid", "freq", "pos"):
-        lex = running_offsets(lex, "termid", f"{c}_bits", f"{c}_offset")
+    lex = running_offsets(_bits(_lexicon(spark, sf)[1]), "termid", {f"{c}_bits": f"{c}_offset" for c in ("docid", "freq", "pos")})
     return lex.select("term", "docid_offset", "freq_offset", "pos_offset")
 
 
@@ -343,13 +388,8 @@ _DF = strict_sizes("n_terms", "length", "length", DIRECT_Q)
 @query(f"""SELECT docid, n_terms, {_BEFORE.format('tb', 'docid')} AS termid_offset, {_BEFORE.format('fb', 'docid')} AS freq_offset FROM (SELECT docid, n_terms,
   ({duck(_DT['bits'])})::BIGINT AS tb, ({duck(_DF['bits'])})::BIGINT AS fb FROM (SELECT docid, coalesce(n_terms, 0)::BIGINT AS n_terms, length FROM lens LEFT JOIN (SELECT docid, count(*) AS n_terms FROM post GROUP BY 1) USING (docid)), k)""")
 def ef_direct_entries(spark, sf):
-    """Offsets of each document's lists in the direct index, documents in order."""
-    i = index(spark, sf)
-    counts = i.direct().groupBy("docid").agg(F.count("*").alias("n_terms"))
-    d = i.doc_lengths.join(counts, "docid", "left").select("docid", "length", F.coalesce("n_terms", F.lit(0)).alias("n_terms")).withColumn("v", F.lit(i.lexicon.count()).cast("long"))
-    d = d.select("docid", "n_terms", F.expr(_DT["bits"]).cast("long").alias("tb"), F.expr(_DF["bits"]).cast("long").alias("fb"))
-    d = running_offsets(running_offsets(d, "docid", "tb", "termid_offset"), "docid", "fb", "freq_offset")
-    return d.select("docid", "n_terms", "termid_offset", "freq_offset")
+    """Offsets of each document's lists in the stored direct index, documents in order."""
+    return spark.read.parquet(f"{transposed(spark, sf).path}/direct_entries")
 
 
 @query(f"SELECT i::BIGINT AS part, (v * i // {PARTS})::BIGINT AS begin_termid, (v * (i + 1) // {PARTS})::BIGINT AS end_termid FROM k, range({PARTS}) t(i)")
@@ -392,9 +432,7 @@ def ef_rebased_offsets(spark, sf):
     kinds = ("docid", "freq", "pos")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = _files(parted).select("part", *[F.coalesce(F.sum(f"{c}_bytes").over(before), F.lit(0)).alias(f"{c}_base") for c in kinds])
-    lex = parted
-    for c in kinds:
-        lex = running_offsets(lex, "termid", f"{c}_bits", f"{c}_all")
+    lex = running_offsets(parted, "termid", {f"{c}_bits": f"{c}_all" for c in kinds})
     first = lex.groupBy("part").agg(*[F.min(f"{c}_all").alias(f"{c}_first") for c in kinds])
     joined = lex.join(bases, "part").join(first, "part")
     return joined.select("term", *[(8 * F.col(f"{c}_base") + F.col(f"{c}_all") - F.col(f"{c}_first")).alias(f"{c}_offset") for c in kinds])
@@ -411,40 +449,106 @@ def compression_summary(spark, sf):
     return _bits(_lexicon(spark, sf)[1]).agg(*[s(c, c) for c in ("docid_bits", "freq_bits", "pos_bits")], s(F.col("df") * 32, "plain_docid_bits"), s(F.col("df") * 32, "plain_freq_bits"), s(F.col("cf") * 32, "plain_pos_bits"))
 
 
-def _blobs(spark, sf) -> tuple[int, DataFrame, TextIndex]:
-    i = index(spark, sf)
-    n = documents(spark, sf).count()
-    return n, encode_lists(i.postings, n, Q), i
+def _lists(spark, sf, positions: bool) -> DataFrame:
+    e = encoded(spark, sf)
+    return decode_lists(e.lists(), documents(spark, sf).count(), Q, positions)
 
 
 @query("SELECT term, docid FROM post")
 def ef_roundtrip_docids(spark, sf):
-    n, blobs, _ = _blobs(spark, sf)
-    return decode_lists(blobs, n, Q, positions=False).select("term", "docid")
+    return _lists(spark, sf, False).select("term", "docid")
 
 
 @query("SELECT term, docid, tf FROM post")
 def ef_roundtrip_freqs(spark, sf):
-    n, blobs, _ = _blobs(spark, sf)
-    return decode_lists(blobs, n, Q, positions=False).select("term", "docid", "tf")
+    return _lists(spark, sf, False).select("term", "docid", "tf")
 
 
 @query("SELECT term, docid, tf, array_to_string(positions, ',') AS positions FROM post")
 def ef_roundtrip_positions(spark, sf):
-    n, blobs, _ = _blobs(spark, sf)
-    return decode_lists(blobs, n, Q).select("term", "docid", "tf", F.array_join("positions", ",").alias("positions"))
+    return _lists(spark, sf, True).select("term", "docid", "tf", F.array_join("positions", ",").alias("positions"))
 
 
 @query(f"SELECT term, docid_bits, freq_bits, pos_bits AS position_bits FROM ({_BITS})")
 def ef_blob_lengths(spark, sf):
     """Bits that the codec wrote: the closed forms' values."""
-    return _blobs(spark, sf)[1].select("term", "docid_bits", "freq_bits", "position_bits")
+    return encoded(spark, sf).lists().select("term", "docid_bits", "freq_bits", "position_bits")
 
 
-@query(_ASOF.format(_PROBES))
+@query(f"SELECT term, docid + 1 AS target, hit FROM ({_NEXT})")
 def ef_seek_blob(spark, sf):
-    n, blobs, i = _blobs(spark, sf)
-    return seek_in_lists(blobs, i.postings.select("term", (F.col("docid") + 1).alias("target")), n, Q)
+    """From just behind every posting, the next one of its term, in the encoded lists."""
+    return encoded(spark, sf).seek_many(index(spark, sf).postings.select("term", (F.col("docid") + 1).alias("target")))
+
+
+@query("SELECT lex.term, 500::BIGINT AS target, min(docid) FILTER (docid >= 500) AS hit FROM lex JOIN post USING (term) GROUP BY ALL")
+def ef_seek_pointers(spark, sf):
+    """One seek in each list, to the same document, by the skip pointers."""
+    e = encoded(spark, sf)
+    n, q = F.lit(documents(spark, sf).count()), F.lit(Q)
+    target = F.lit(500).cast("long")
+    return e.lists().select("term", target.alias("target"), udfs.ef_next_geq("docids", "df", n, q, target).alias("hit"))
+
+
+@query("SELECT term, tf FROM (SELECT term, tf, row_number() OVER (PARTITION BY term ORDER BY docid) AS o, df FROM post JOIN lex USING (term)) WHERE o = df // 2 + 1")
+def ef_middle_frequency(spark, sf):
+    """The frequency in the middle of each list, read at its place."""
+    return encoded(spark, sf).lists().select("term", udfs.ef_tf_at("freqs", "df", "cf", F.lit(Q), F.expr("df div 2")).alias("tf"))
+
+
+@query("SELECT term, docid, tf FROM post JOIN lex USING (term) WHERE df BETWEEN 20 AND 40")
+def ef_udtf_scan(spark, sf):
+    """Lists of medium length through the table function, in SQL."""
+    udfs.register(spark)
+    e = encoded(spark, sf)
+    n = documents(spark, sf).count()
+    return spark.sql("SELECT l.term, p.docid, p.tf FROM {lists} l, LATERAL ef_postings(l.docids, l.freqs, l.df, l.cf, :n, :q) p WHERE l.df BETWEEN 20 AND 40", args={"n": n, "q": Q}, lists=e.lists())
+
+
+@query(f"SELECT term, docid, tf, length FROM post JOIN lens USING (docid) WHERE term = '{TERM}'")
+def ef_postings_term(spark, sf):
+    """One term's postings from the encoded index: only its list is decoded."""
+    return encoded(spark, sf).postings(TERM).select("term", "docid", "tf", "length")
+
+
+@query(f"SELECT term, {_BEFORE.format('docid_bits', 'termid')} AS docid_offset, {_BEFORE.format('freq_bits', 'termid')} AS freq_offset, {_BEFORE.format('pos_bits', 'termid')} AS position_offset FROM ({_BITS})")
+def ef_stored_lexicon(spark, sf):
+    """The encoded index's lexicon with the offsets that were written."""
+    return encoded(spark, sf).index().lexicon.select("term", "docid_offset", "freq_offset", "position_offset")
+
+
+@query(
+    "SELECT term, "
+    + ", ".join(f"(coalesce(8 * {c}_base, 0) + coalesce(sum({c}_bits) OVER (PARTITION BY p.part ORDER BY termid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS {c}_offset" for c in ("docid", "freq", "pos"))
+    + f" FROM {_PART} p JOIN (SELECT part, "
+    + ", ".join(f"sum({c}_bytes) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {c}_base" for c in ("docid", "freq", "pos"))
+    + f" FROM ({_FILES})) f ON p.part = f.part"
+)
+def ef_merged_parts(spark, sf):
+    """Stored lists of term ranges, each with offsets of its own, merged as one lexicon."""
+    lists = encoded(spark, sf).lists().select("term", "termid", "docid_bits", "freq_bits", "position_bits")
+    kinds = ("docid", "freq", "position")
+    parts = []
+    for a, b in term_partitions(lists.count(), PARTS):
+        part = lists.where((F.col("termid") >= a) & (F.col("termid") < b))
+        parts.append(running_offsets(part, "termid", {f"{c}_bits": f"{c}_offset" for c in kinds}))
+    return store.merge_lexicon_parts(parts).select("term", "docid_offset", "freq_offset", F.col("position_offset").alias("pos_offset"))
+
+
+@query("SELECT key, value FROM (SELECT unnest(['num_documents', 'num_terms', 'num_pointers', 'num_tokens', 'has_positions', 'inverted']) AS key, unnest([n::VARCHAR, v::VARCHAR, (SELECT sum(df)::BIGINT FROM lex)::VARCHAR, (SELECT sum(cf)::BIGINT FROM lex)::VARCHAR, 'true', 'lists']) AS value FROM k)")
+def ef_properties(spark, sf):
+    """Properties of the encoded index."""
+    kept = spark.read.parquet(f"{encoded(spark, sf).path}/properties")
+    return kept.where(F.col("key").isin("num_documents", "num_terms", "num_pointers", "num_tokens", "has_positions", "inverted"))
+
+
+_STOP = ("the", "of", "and", "die", "le")
+
+
+@query(f"SELECT term, docid, tf FROM post WHERE term NOT IN {_STOP}")
+def postings_without_stopwords(spark, sf):
+    stop = spark.createDataFrame([(w,) for w in _STOP], "term string")
+    return TextIndex.build(documents(spark, sf), stopwords=stop).postings.select("term", "docid", "tf")
 
 
 _SCALARS = {"lower_bits": lower_bits("n", "u", True), "lower_bits_plain": lower_bits("n", "u", False), "ceil_log2": ceil_log2("u")}

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.functions.blobs import decode_lists, seek_in_lists
 from lexispark.operators.index import TextIndex, next_geq
+from lexispark.schema import LOG2_QUANTUM
 from lexispark.sources import store
 
 
 class Engine:
-    """Build, transpose and query the index in a folder."""
+    """Build, compress, transpose and query the index in a folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -19,23 +21,23 @@ class Engine:
         store.write_index(TextIndex.build(docs, docid, text, stopwords), self.path, positions, partitions=partitions)
         return self
 
-    def compress(self, target: str, positions: bool = False, partitions: int = 8) -> Engine:
-        """Write the index again elsewhere, with or without positions."""
-        has = self.has_positions()
-        if positions and not has:
-            raise ValueError("the index has no positions")
-        store.write_index(self.index(), target, positions, partitions=partitions)
+    def compress(self, target: str, positions: bool = False, partitions: int = 8, log2_quantum: int = LOG2_QUANTUM) -> Engine:
+        """Encode the index to another folder, with or without positions."""
+        store.write_compressed(self.spark, self.path, target, positions, log2_quantum, partitions)
         return Engine(self.spark, target)
 
-    def transpose(self) -> Engine:
-        store.write_direct(self.spark, self.path)
+    def transpose(self, partitions: int = 8) -> Engine:
+        store.write_direct(self.spark, self.path, partitions)
         return self
 
     def index(self) -> TextIndex:
         return store.open_index(self.spark, self.path)
 
+    def properties(self) -> dict[str, str]:
+        return store.properties(self.spark, self.path)
+
     def has_positions(self) -> bool:
-        return store.properties(self.spark, self.path).get("has_positions") == "true"
+        return self.properties().get("has_positions") == "true"
 
     def lexicon(self) -> DataFrame:
         return self.index().lexicon.orderBy("term")
@@ -46,15 +48,35 @@ class Engine:
     def stats(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/collection_stats")
 
+    def lists(self) -> DataFrame:
+        """The encoded lists, one row a term."""
+        return self.spark.read.parquet(f"{self.path}/ef_lists")
+
+    def _of(self, term: str) -> DataFrame:
+        """A term's postings; of an encoded index only this list is decoded."""
+        kept = self.properties()
+        if kept["inverted"] == "lists":
+            return decode_lists(self.lists().where(F.col("term") == term), int(kept["num_documents"]), int(kept["log2_quantum"]), kept["has_positions"] == "true")
+        return self.index().postings_of_term(term)
+
     def postings(self, term: str) -> DataFrame:
-        return self.index().postings_of_term(term).join(self.index().doc_lengths, "docid").orderBy("docid")
+        """A term's postings with document lengths, in order."""
+        return self._of(term).join(self.index().doc_lengths, "docid").orderBy("docid")
 
     def seek(self, term: str, target: int) -> DataFrame:
         """The first posting of the term at or after the target; no row past the end."""
-        return self.index().postings_of_term(term).where(F.col("docid") >= target).orderBy("docid").limit(1)
+        return self._of(term).where(F.col("docid") >= target).orderBy("docid").limit(1)
 
     def seek_many(self, probes: DataFrame) -> DataFrame:
+        """Probes (term, target) to (term, target, hit); in an encoded index by the lists' pointers."""
+        kept = self.properties()
+        if kept["inverted"] == "lists":
+            return seek_in_lists(self.lists(), probes, int(kept["num_documents"]), int(kept["log2_quantum"]))
         return next_geq(self.index().postings, probes, "term", "docid")
 
     def direct(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/direct")
+
+    def direct_lists(self) -> DataFrame:
+        """The direct index decoded from its encoded lists."""
+        return store.read_direct(self.spark, self.path)

@@ -1,11 +1,6 @@
-"""The fixed schemas of the index tables."""
+"""Fixed parameters of the index."""
 
 from __future__ import annotations
 
-POSTINGS = "term string, termid long, docid long, tf long, positions array<int>"
-LEXICON = "term string, termid long, df long, cf long, maxtf long, sum_last_position long"
-DOC_LENGTHS = "docid long, length long"
-DIRECT = "docid long, termid long, tf long"
-COLLECTION_STATS = "num_documents long, num_terms long, num_pointers long, num_tokens long"
 MAX_TERM_LENGTH = 20
 LOG2_QUANTUM = 8

@@ -68,14 +68,15 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def mark() -> int:
-    """A position in the list of written tables, for :func:`release`."""
-    return len(_written)
+def written() -> list[str]:
+    """Paths of all tables that were written and not deleted yet."""
+    return list(_written)
 
 
-def release(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
-    """Delete intermediate tables written between two marks (all, if none are given). Frames that read them end to work."""
-    for path in _written[since:upto]:
-        _delete(spark, path)
-    del _written[since:upto]
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables. Frames that read them end to work."""
+    for path in paths:
+        if path in _written:
+            _delete(spark, path)
+            _written.remove(path)
     sweep(spark)

@@ -1,24 +1,50 @@
-"""An index on disk: a folder of Parquet tables and a table of properties."""
+"""An index on disk: a folder of Parquet tables and a table of properties.
+
+Properties are written last and say ``complete``: a folder without them isn't an index, so a write that was cut off can't be opened.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.functions.blobs import decode_lists, encode_lists
-from lexispark.operators.index import TextIndex
+from lexispark.functions.blobs import decode_direct, decode_lists, encode_direct, encode_lists
+from lexispark.operators.index import TextIndex, running_offsets
 from lexispark.schema import LOG2_QUANTUM
 
+DIRECT_QUANTUM = 8
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _vacant(spark: SparkSession, path: str) -> None:
+    if exists(spark, path):
+        raise FileExistsError(f"{path} exists already")
+
 
 def write_index(index: TextIndex, path: str, with_positions: bool = False, log2_quantum: int = LOG2_QUANTUM, partitions: int = 8) -> None:
-    """Write ``index``; fails if ``path`` has an index. Postings are range-partitioned and sorted by termid, so row groups can be skipped."""
+    """Write ``index``; fails if ``path`` exists. Postings are range-partitioned and sorted by termid, so row groups can be skipped."""
+    _vacant(index.spark, path)
     posts = index.postings if with_positions else index.postings.withColumn("positions", F.lit(None).cast("array<int>"))
     posts.repartitionByRange(partitions, "termid").sortWithinPartitions("termid", "docid").write.parquet(f"{path}/postings")
+    _write_small(index, path, partitions)
+    write_properties(index.spark, path, {"log2_quantum": log2_quantum, "has_positions": with_positions, "aligned": True, "byte_order": "little", "inverted": "rows"})
+
+
+def _write_small(index: TextIndex, path: str, partitions: int) -> None:
     index.lexicon.repartitionByRange(partitions, "term").sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
     index.doc_lengths.repartitionByRange(partitions, "docid").sortWithinPartitions("docid").write.parquet(f"{path}/doc_lengths")
-    stored = open_index(index.spark, path)
+    stored = TextIndex(index.postings, index.spark.read.parquet(f"{path}/lexicon"), index.spark.read.parquet(f"{path}/doc_lengths"))
     stored.stats().write.parquet(f"{path}/collection_stats")
-    _properties(index.spark, {"log2_quantum": log2_quantum, "has_positions": with_positions, "aligned": True, "byte_order": "little"}, path)
+
+
+def write_properties(spark: SparkSession, path: str, values: dict) -> None:
+    """Properties of the inverted index, with the collection's statistics; written last, they make the index complete."""
+    stats = spark.read.parquet(f"{path}/collection_stats").first().asDict()
+    _properties(spark, values | stats | {"complete": True}, path)
 
 
 def _properties(spark: SparkSession, values: dict, path: str) -> None:
@@ -30,31 +56,81 @@ def properties(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def open_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"), spark.read.parquet(f"{path}/doc_lengths"))
+    """The stored index; encoded lists are decoded when they are read."""
+    kept = properties(spark, path)
+    if kept.get("complete") != "true":
+        raise ValueError(f"{path} holds no complete index")
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    if kept["inverted"] == "lists":
+        postings = decode_lists(read("ef_lists"), int(kept["num_documents"]), int(kept["log2_quantum"]), kept["has_positions"] == "true")
+    else:
+        postings = read("postings")
+    return TextIndex(postings, read("lexicon"), read("doc_lengths"))
 
 
 def append_lexicon(lexicon: DataFrame, path: str) -> None:
-    """Add entries of a lexicon whose terms follow those stored."""
+    """Add entries of a lexicon; their terms must follow all those stored."""
+    spark = lexicon.sparkSession
+    last = spark.read.parquet(f"{path}/lexicon").agg(F.max("term")).first()[0]
+    first = lexicon.agg(F.min("term")).first()[0]
+    if last is not None and first is not None and first.encode() <= last.encode():
+        raise ValueError(f"{first!r} doesn't follow {last!r}")
     lexicon.sortWithinPartitions("term").write.mode("append").parquet(f"{path}/lexicon")
 
 
+def write_compressed(spark: SparkSession, source: str, path: str, positions: bool = False, log2_quantum: int = LOG2_QUANTUM, partitions: int = 8) -> None:
+    """Encode the stored index ``source`` to ``path``: lists as bit strings, a lexicon with their offsets, lengths, statistics, properties."""
+    _vacant(spark, path)
+    index = open_index(spark, source)
+    if positions and properties(spark, source)["has_positions"] != "true":
+        raise ValueError("the index has no positions")
+    lists = encode_lists(index.postings, index.doc_lengths.count(), log2_quantum, positions)
+    lists.repartitionByRange(partitions, "termid").sortWithinPartitions("termid").write.parquet(f"{path}/ef_lists")
+    bits = spark.read.parquet(f"{path}/ef_lists").select("termid", "docid_bits", "freq_bits", "position_bits")
+    offsets = running_offsets(bits, "termid", {f"{c}_bits": f"{c}_offset" for c in ("docid", "freq", "position")})
+    lexicon = index.lexicon.join(offsets.select("termid", "docid_offset", "freq_offset", "position_offset"), "termid").select(*index.lexicon.columns, "docid_offset", "freq_offset", "position_offset")
+    _write_small(TextIndex(index.postings, lexicon, index.doc_lengths), path, partitions)
+    write_properties(spark, path, {"log2_quantum": log2_quantum, "has_positions": positions, "aligned": True, "byte_order": "little", "inverted": "lists"})
+
+
 def write_direct(spark: SparkSession, path: str, partitions: int = 8) -> None:
-    """Transpose the stored postings; fails if there is a direct index, or if termids don't follow the terms."""
-    if properties(spark, path).get("aligned") != "true":
+    """Transpose the stored postings: rows, and encoded lists with their offsets. Fails if there is a direct index, or if termids don't follow the terms."""
+    kept = properties(spark, path)
+    if kept.get("aligned") != "true":
         raise ValueError("termids must follow the order of terms")
-    direct = open_index(spark, path).direct()
-    direct.repartitionByRange(partitions, "docid").sortWithinPartitions("docid", "termid").write.parquet(f"{path}/direct")
-    _properties(spark, {"has_direct": True}, path)
+    _vacant(spark, f"{path}/direct")
+    index = open_index(spark, path)
+    index.direct().repartitionByRange(partitions, "docid").sortWithinPartitions("docid", "termid").write.parquet(f"{path}/direct")
+    lists = encode_direct(spark.read.parquet(f"{path}/direct"), index.doc_lengths, int(kept["num_terms"]), DIRECT_QUANTUM)
+    lists.repartitionByRange(partitions, "docid").sortWithinPartitions("docid").write.parquet(f"{path}/direct_lists")
+    bits = spark.read.parquet(f"{path}/direct_lists").select("docid", "n_terms", "termid_bits", "freq_bits")
+    entries = running_offsets(bits, "docid", {"termid_bits": "termid_offset", "freq_bits": "freq_offset"})
+    entries.select("docid", "n_terms", "termid_offset", "freq_offset").repartitionByRange(partitions, "docid").sortWithinPartitions("docid").write.parquet(f"{path}/direct_entries")
+    write_direct_properties(spark, path)
 
 
-def write_lists(spark: SparkSession, path: str) -> None:
-    """Encode the stored postings (with positions) to bit strings, one row a term."""
-    index, kept = open_index(spark, path), properties(spark, path)
-    if kept["has_positions"] != "true":
-        raise ValueError("the index was written without positions")
-    encode_lists(index.postings, index.doc_lengths.count(), int(kept["log2_quantum"])).write.parquet(f"{path}/ef_lists")
+def write_direct_properties(spark: SparkSession, path: str) -> None:
+    _properties(spark, {"has_direct": True, "direct_log2_quantum": DIRECT_QUANTUM}, path)
 
 
-def read_lists(spark: SparkSession, path: str, positions: bool = True) -> DataFrame:
+def read_direct(spark: SparkSession, path: str) -> DataFrame:
+    """docid, termid, tf, decoded from the encoded direct index."""
     kept = properties(spark, path)
-    return decode_lists(spark.read.parquet(f"{path}/ef_lists"), spark.read.parquet(f"{path}/doc_lengths").count(), int(kept["log2_quantum"]), positions)
+    return decode_direct(spark.read.parquet(f"{path}/direct_lists"), int(kept["num_terms"]), int(kept["direct_log2_quantum"]))
+
+
+def merge_lexicon_parts(parts: list[DataFrame]) -> DataFrame:
+    """Lexicons of encoded parts, of term ranges in order, as one: offsets move by the whole 64-bit words that the parts before have.
+
+    Each part has termid, the bits of its lists, and offsets that begin at 0.
+    """
+    kinds = ("docid", "freq", "position")
+    moved, base = [], dict.fromkeys(kinds, 0)
+    for part in parts:
+        sums = part.agg(*[F.coalesce(F.sum(f"{c}_bits"), F.lit(0)).alias(c) for c in kinds]).first()
+        moved.append(part.withColumns({f"{c}_offset": F.col(f"{c}_offset") + base[c] for c in kinds}))
+        base = {c: base[c] + 64 * (sums[c] // 64 + 1) for c in kinds}
+    out = moved[0]
+    for part in moved[1:]:
+        out = out.unionByName(part)
+    return out

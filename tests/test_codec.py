@@ -59,15 +59,66 @@ def test_store(spark, parts):
     assert [tuple(r) for r in e.lexicon().select("term", "termid", "df", "cf", "maxtf").collect()] == [("12", 0, 1, 1, 1), ("cat", 1, 1, 1, 1), ("dog", 2, 2, 2, 1), ("the", 3, 1, 2, 2)]
     assert e.seek("dog", 1).first()["docid"] == 2 and e.seek("dog", 3).first() is None
     assert sorted(map(tuple, e.direct().collect())) == [(0, 1, 1), (0, 2, 1), (0, 3, 2), (2, 0, 1), (2, 2, 1)]
-    store.write_lists(spark, e.path)
+    assert sorted(map(tuple, e.direct_lists().collect())) == sorted(map(tuple, e.direct().collect()))
     want = sorted((r["term"], r["docid"], r["tf"], list(r["positions"])) for r in e.index().postings.collect())
-    assert sorted((r["term"], r["docid"], r["tf"], list(r["positions"])) for r in store.read_lists(spark, e.path).collect()) == want
+    small = e.compress(new_path(spark, "index"), positions=True, partitions=parts, log2_quantum=1)
+    assert sorted((r["term"], r["docid"], r["tf"], list(r["positions"])) for r in small.index().postings.collect()) == want
+    assert [r["hit"] for r in small.seek_many(spark.createDataFrame([("dog", 1)], "term string, target long")).collect()] == [2]
+    assert [r["num_tokens"] for r in small.stats().collect()] == [6] and small.properties()["num_terms"] == "4"
+    assert small.transpose().direct_lists().count() == 5
     plain = e.compress(new_path(spark, "index"), positions=False, partitions=parts)
-    assert not plain.has_positions() and plain.postings("the").count() == 1
-    with pytest.raises(Exception):
+    assert not plain.has_positions() and plain.postings("the").count() == 1 and plain.seek("dog", 1).first()["docid"] == 2
+    with pytest.raises(ValueError):
+        plain.compress(new_path(spark, "index"), positions=True)
+    with pytest.raises(FileExistsError):
         e.build(docs)
-    with pytest.raises(Exception):
+    with pytest.raises(FileExistsError):
         e.transpose()
+    more = spark.createDataFrame([("zebra", 4, 1, 1, 1, 0)], e.lexicon().schema)
+    store.append_lexicon(more, e.path)
+    assert [r["term"] for r in e.lexicon().collect()][-1] == "zebra"
+    with pytest.raises(ValueError):
+        store.append_lexicon(more, e.path)
+
+
+def test_cut_off_index_is_not_opened(spark):
+    docs = spark.createDataFrame([(0, "a b")], "doc_id long, text string")
+    e = Engine(spark, new_path(spark, "index"))
+    docs.write.parquet(f"{e.path}/postings")
+    with pytest.raises(Exception):
+        e.index()
+    with pytest.raises(FileExistsError):
+        e.build(docs)
+
+
+def test_commands(spark, tmp_path, capsys):
+    from lexispark.__main__ import main
+
+    spark.createDataFrame([(0, "a b b"), (1, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    (tmp_path / "stop").write_text("a\n")
+    main(["build", f"{tmp_path}/docs", f"{tmp_path}/index", "-b", "--stopwords", f"{tmp_path}/stop"])
+    main(["transpose", f"{tmp_path}/index", "-p", "2"])
+    main(["compress", f"{tmp_path}/index", f"{tmp_path}/small", "-b", "-q", "3"])
+    main(["doc-lengths", f"{tmp_path}/small"])
+    assert capsys.readouterr().out.splitlines()[-2:] == ["0\t2", "1\t0"]
+
+
+@given(st.sets(st.integers(0, 3000), min_size=1), st.sampled_from([1, 3, 8]), st.integers(-1, 3001))
+@settings(max_examples=150, deadline=None)
+def test_reads_by_pointers(docs, q, target):
+    d = np.array(sorted(docs))
+    n = 3001
+    data = codec.pack(codec.encode_docids(d, n, q))
+    assert codec.next_geq(data, len(d), n, q, target) == next((x for x in d.tolist() if x >= target), None)
+    f = d % 7 + 1
+    cf = int(f.sum())
+    freqs = codec.pack(codec.encode_freqs(f, cf, q))
+    i = target % len(d)
+    assert codec.freq_at(freqs, len(d), cf, q, i) == f[i]
+    lists = [np.arange(x) * 3 + x for x in f]
+    packed = codec.pack(codec.encode_positions(lists, q))
+    u = len(lists) + sum(int(p[-1]) for p in lists)
+    assert codec.positions_at(packed, int(f[:i].sum()), int(f[i]), cf, u, q) == lists[i].tolist()
 
 
 def test_stopwords_and_empty(spark):
