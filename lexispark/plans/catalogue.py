@@ -496,13 +496,13 @@ def ef_middle_frequency(spark, sf):
     return encoded(spark, sf).lists().select("term", udfs.ef_tf_at("freqs", "df", "cf", F.lit(Q), F.expr("df div 2")).alias("tf"))
 
 
-@query("SELECT term, docid, tf FROM post JOIN lex USING (term) WHERE df BETWEEN 20 AND 40")
+@query("SELECT term, docid, tf FROM post JOIN lex USING (term) WHERE df BETWEEN 100 AND 400")
 def ef_udtf_scan(spark, sf):
     """Lists of medium length through the table function, in SQL."""
     udfs.register(spark)
     e = encoded(spark, sf)
     n = documents(spark, sf).count()
-    return spark.sql("SELECT l.term, p.docid, p.tf FROM {lists} l, LATERAL ef_postings(l.docids, l.freqs, l.df, l.cf, :n, :q) p WHERE l.df BETWEEN 20 AND 40", args={"n": n, "q": Q}, lists=e.lists())
+    return spark.sql("SELECT l.term, p.docid, p.tf FROM {lists} l, LATERAL ef_postings(l.docids, l.freqs, l.df, l.cf, :n, :q) p WHERE l.df BETWEEN 100 AND 400", args={"n": n, "q": Q}, lists=e.lists())
 
 
 @query(f"SELECT term, docid, tf, length FROM post JOIN lens USING (docid) WHERE term = '{TERM}'")
