@@ -239,6 +239,9 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (8_000_000, 100):
         same(decontaminate.decontaminate(table(spark, rows), bench, block_bytes=block).select(*cols), want)
+    named = bench.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("item_id"), "text")
+    odd = decontaminate.decontaminate(table(spark, rows).withColumns({"_state": F.lit(1), "n_hit": F.lit("x")}), named)
+    same(odd.select("doc_id", "n_words", "n_hit", "n_items", "contaminated", "_state"), [(*w[:4], w[5], 1) for w in want])
     none = decontaminate.decontaminate(table(spark, rows), bench.limit(0)).select(*cols)
     same(none, [(k, n, 0, 0, hashlib.sha256(b"").hexdigest(), False) for k, n, *_ in want])
 
@@ -266,6 +269,46 @@ def test_packing(spark):
     assert sum(rs[0]["bin_used"] for rs in by_bin.values()) / sum(rs[0]["bin_capacity"] for rs in by_bin.values()) > 0.8
 
 
+def plain_pack(lengths, caps, overhead, quadratic):
+    """The packing rule, told without sorted lists: bins as plain lists of lengths."""
+    caps, bins, cost = sorted(caps), [], lambda c: overhead + c + c * c / quadratic
+    down = lambda n: min(c for c in caps if c >= n)
+    for i, n in enumerate(lengths):
+        fitting = [(size - sum(x), b) for b, (size, x) in enumerate(bins) if size - sum(x) >= n]
+        if fitting:
+            bins[min(fitting)[1]][1].append(n)
+            continue
+        tried = []
+        for c in caps:
+            if c >= n:
+                fill = n
+                for m in lengths[i + 1 :]:
+                    fill += m if fill + m <= c else 0
+                tried.append((cost(down(fill)) / fill, c))
+        bins.append((min(tried)[1], [n]))
+    return sorted((down(sum(x)), tuple(x)) for _, x in bins)
+
+
+def test_packing_chooses_least_cost():
+    rng, opened = random.Random(11), set()
+    for _ in range(40):
+        lengths = sorted((int(rng.choice([1, 30, 200, 900]) * rng.random()) + 1 for _ in range(rng.randint(0, 80))), reverse=True)
+        b, o, c, u = packing.pack(lengths, (64, 256, 1024), 8.0, 2048.0)
+        got = defaultdict(list)
+        for n, k, at, size, used in zip(lengths, b, o, c, u, strict=True):
+            assert at == sum(got[k, size, used])
+            got[k, size, used].append(n)
+        assert sorted((size, tuple(x)) for (_, size, _), x in got.items()) == plain_pack(lengths, (64, 256, 1024), 8.0, 2048.0)
+        opened |= set(c)
+    assert opened == {64, 256, 1024}
+
+
+def test_packing_spreads_copies(spark):
+    rows = [(None, "x" * 50, None, None, None)] * 40
+    got = packing.best_fit(spark.createDataFrame(rows, SCHEMA), capacities=(64, 256), shard_pieces=10).collect()
+    assert len(got) == 40 and len({r["bin_id"].split("-")[0] for r in got}) > 1
+
+
 def simhash_truth(rows):
     def fp(t):
         b = (t or "").encode().lower()
