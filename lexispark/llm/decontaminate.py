@@ -1,18 +1,20 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-Benchmark items become windows of ``width`` consecutive words (a shorter item is one window of its own size). A window counts as
-contained only whole, so by the prefix principle one token is a necessary prefix: the rarest. Words are ordered by rarity over all windows
-(ties by the word itself), and a posting list leads from a window's rarest word to the windows and the word's place in each.
+Benchmark items become windows of ``width`` consecutive words (a shorter item is one window of its own size). A window's set is that of its shingles of
+``SHINGLE`` words (fewer in shorter windows: the window itself). A window counts as contained only whole, so by the prefix principle one token is a
+necessary prefix: its rarest shingle. Shingles are ordered by rarity over all windows (ties by hash), and a posting list leads from a rarest shingle to
+the windows and its place in each.
 
-A document's words are mapped to benchmark word numbers; only places that hold a prefix word probe. The length bound and the positional
-bound (the window must lie inside the document, its end within a run of benchmark words) discard candidates, and what remains is verified word
+A document's words are mapped to benchmark word numbers; only places whose shingle is some window's prefix probe. The length bound and the positional
+bound (the window must lie inside the document) discard candidates, and what remains is verified word
 by word. Windows are item-sized: an item's own number of words where that's below ``width``.
 
 The benchmark is read in blocks of at most ``block_bytes`` of text (checked); each block is matched against all documents
 and hits are merged per document. With one block, the usual case, documents are read once and nothing is shuffled.
 
 Defined cases: null text has no words; an item without words has no windows; equal items are all reported; a repeated item_id
-is reported once; a null item_id is matched, but not listed; repeated documents are judged each; empty tables give n_hit 0 or no rows.
+is reported once; a null item_id is matched, but not listed; item_id may be of any type that casts to a string; repeated documents are judged each; columns of docs
+that bear the name of an added one are replaced, all others stay whatever their name; empty tables give n_hit 0 or no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +35,23 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode().lower())
 
 
+SHINGLE, FACTOR, PROBES = 5, np.uint64(0x9E3779B97F4A7C15), 1 << 20
+
+
+def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """Of every run of ``size`` word numbers, by a polynomial modulo 2^64."""
+    x = ids.astype(np.uint64)
+    h = np.zeros(len(x) - size + 1, np.uint64)
+    for j in range(size):
+        h = h * FACTOR + x[j : j + len(h)] + np.uint64(1)
+    return h
+
+
 class Windows:
     """Posting lists of one block of the benchmark."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
-        windows: dict[tuple[bytes, ...], set[int]] = {}
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
+        windows: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
             w = words(text)
             for i in range(max(1, len(w) - width + 1) if w else 0):
@@ -45,40 +59,62 @@ class Windows:
                 if item is not None:
                     got.add(item)
         self.items = list(windows.values())
-        df = Counter(t for w in windows for t in set(w))
-        self.number = {t: i for i, t in enumerate(sorted(df))}
+        self.number = {t: i for i, t in enumerate(sorted({t for w in windows for t in w}))}
         n = len(windows)
         self.size = np.array([len(w) for w in windows], np.int64)
         self.words = np.full((n, width), -2, np.int64)
-        first, place = np.empty(n, np.int64), np.empty(n, np.int64)
         for k, w in enumerate(windows):
             self.words[k, : len(w)] = [self.number[t] for t in w]
-            place[k] = min(range(len(w)), key=lambda i: (df[w[i]], w[i], i))
-            first[k] = self.words[k, place[k]]
-        self.by = np.argsort(first, kind="stable")
-        self.place = place
-        count = np.bincount(first, minlength=len(self.number)) if n else np.zeros(len(self.number), np.int64)
-        self.start = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        grams = [shingle_hashes(self.words[k, :m], min(m, SHINGLE)) for k, m in enumerate(self.size.tolist())]
+        df = Counter(x for g in grams for x in set(g.tolist()))
+        self.place = np.array([min(range(len(g)), key=lambda i: (df[g[i].item()], g[i].item(), i)) for g in grams], np.int64)
+        first = np.array([g[p] for g, p in zip(grams, self.place, strict=True)], np.uint64)
+        length = np.minimum(self.size, SHINGLE)
+        self.lists = []  # of each shingle length: hashes, starts of their lists, windows
+        for m in np.unique(length).tolist():
+            own = np.flatnonzero(length == m)
+            own = own[np.argsort(first[own], kind="stable")]
+            keys, start = np.unique(first[own], return_index=True)
+            self.lists.append((m, keys, np.append(start, len(own)), own))
 
     def match(self, w: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places and windows of all occurrences in a document of these words."""
         get = self.number.get
         ids = np.fromiter((get(t, -1) for t in w), np.int64, len(w))
-        known = np.flatnonzero(ids >= 0)
-        n = self.start[ids[known] + 1] - self.start[ids[known]]
-        probe = np.repeat(known, n)
-        if not len(probe):
-            return probe, probe
-        order = np.arange(len(probe)) - np.repeat(np.cumsum(n) - n, n)
-        win = self.by[self.start[ids[probe]] + order]
-        at = probe - self.place[win]
-        ok = (at >= 0) & (at + self.size[win] <= len(w))
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for m, keys, start, own in self.lists:
+            if len(w) < m:
+                continue
+            place = np.flatnonzero(known[m:] - known[:-m] == m)
+            if not len(place):
+                continue
+            h = shingle_hashes(ids, m)[place]
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[k] == h
+            place, k = place[hit], k[hit]
+            ends = np.cumsum(start[k + 1] - start[k])
+            a = 0
+            while a < len(place):  # long lists are probed in parts of bounded size
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PROBES, side="right")))
+                found.append(self._verified(ids, place[a:b], start[k[a:b]], start[k[a:b] + 1], own))
+                a = b
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, win = (np.concatenate(x) for x in zip(*found, strict=True))
+        return at, win
+
+    def _verified(self, ids: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = end - start
+        win = own[np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at = np.repeat(place, n) - self.place[win]
+        ok = (at >= 0) & (at + self.size[win] <= len(ids))
         at, win = at[ok], win[ok]
         for j in range(self.words.shape[1]):
             if not len(at):
                 break
             want = self.words[win, j]
-            ok = (want < 0) | (ids[np.minimum(at + j, len(w) - 1)] == want)
+            ok = (want < 0) | (ids[np.minimum(at + j, len(ids) - 1)] == want)
             at, win = at[ok], win[ok]
         return at, win
 
@@ -93,10 +129,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    block: list[tuple[int | None, str | None]] = []
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    block: list[tuple[str | None, str | None]] = []
     size = 0
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
+    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         block.append((row["i"], row["t"]))
         size += len(row["t"] or "") * 4 + 16
         if size >= block_bytes:
@@ -115,7 +151,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     spark = docs.sparkSession
     out = docs.drop(*added)
     fields = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
-    state, names = "_state", out.columns
+    names = out.columns
+    state = "_state" + "_" * max(map(len, names))
     for items in _blocks(benchmark, item_id, item_text, block_bytes):
         held = spark.sparkContext.broadcast(Windows(items, width))
 
@@ -128,20 +165,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                     w = words(t.as_py())
                     at, win = block.match(w)
                     spans = list(zip(at.tolist(), (at + block.size[win]).tolist(), strict=True))
-                    found: set[int] = set().union(*(block.items[k] for k in np.unique(win)))
+                    found: set[str] = set().union(*(block.items[k] for k in np.unique(win)))
                     if before:
                         spans += [(s["a"], s["b"]) for s in before["spans"]]
                         found |= set(before["items"])
                     rows.append({"n": len(w), "spans": [{"a": a, "b": b} for a, b in merged(spans)], "items": sorted(found)})
                 keep = [batch.column(c) for c in names]
-                kind = pa.struct([("n", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+                kind = pa.struct([("n", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(rows, kind)], names=[*names, state])
 
-        out = out.mapInArrow(run, f"{fields}, {state} struct<n: long, spans: array<struct<a: long, b: long>>, items: array<long>>")
+        out = out.mapInArrow(run, f"{fields}, {state} struct<n: long, spans: array<struct<a: long, b: long>>, items: array<string>>")
     if state not in out.columns:  # no benchmark
         count = F.pandas_udf(lambda s: s.map(lambda t: len(words(t))).astype("int64"), "long")
-        out = out.withColumn(state, F.struct(count(F.col(text)).alias("n"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items")))
+        out = out.withColumn(state, F.struct(count(F.col(text)).alias("n"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items")))
     s = F.col(state)
-    ids = F.array_join(F.array_sort(F.transform(s["items"], lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.array_sort(s["items"]), ",")
     hit = F.aggregate(s["spans"], F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
     return out.select(*[F.col(f"`{c}`") for c in names], s["n"].alias("n_words"), hit.alias("n_hit"), F.size(s["items"]).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (hit > 0).alias("contaminated"), F.transform(s["spans"], lambda x: F.struct(x["a"].alias("start"), x["b"].alias("end"))).alias("hit_spans"))
