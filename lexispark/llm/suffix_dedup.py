@@ -5,12 +5,14 @@ A window is a string of ``length`` bytes. A window's suffix need only be compare
 1. Anchors. The least hash of the ``gram``-byte strings inside a window is its anchor (the leftmost, if equal). Equal windows
    have equal anchors, at the same offset. The windows of an anchor are a run of starts; the bytes they cover are its context. Windows of
    a text thus become length / 2 times fewer anchors, with a 64-bit key (the gram) and a 64-bit hash of the context.
-2. Anchors whose key occurs once have no window that repeats. Of the others, equal contexts are counted with map-side combine:
+2. Anchors whose key occurs once have no window that repeats. Of the others, equal contexts are counted with map-side combine, by two 64-bit hashes:
    contexts that occur twice or more are repeated whole. What remains to be compared are contexts that are alike at the anchor, but not as a whole, where
    one of each kind stands for all.
-3. These contexts are dealt by key. Each task keeps a logarithmic index family (:class:`IndexFamily`): a new batch gets its suffix array
-   (starts of windows, in order), is merge-scanned against each level for windows that occur there, and what is new becomes a level; levels of equal size
-   merge, as in binary counting. A key with over ``share_rows`` contexts is dealt to several tasks, each of which indexes its share of the windows.
+3. These contexts are dealt and sorted by key. Each task keeps a logarithmic index family (:class:`IndexFamily`): a new batch gets its suffix array
+   (starts of windows in the order of their bytes, by prefix doubling), is merge-scanned against each level for windows that occur there, and what is new becomes a
+   level; levels of equal size merge, as in binary counting. Matches are told by bytes. When a family holds ``family_bytes`` of contexts, the next key begins a new
+   one, so a task's memory doesn't grow with its partition. A key with over ``share_rows`` contexts is dealt to several tasks, each of which indexes its share of the
+   windows (told by a hash) but holds all bytes of the key's different contexts.
 4. Runs of repeated windows are merged per text and cut out.
 
 Texts are identified by two 64-bit hashes, so copies (also of rows) are worked on together, and keys may be null or repeat.
@@ -23,10 +25,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,96 +107,174 @@ def anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
+def dense(x: np.ndarray) -> np.ndarray:
+    """Ranks of values: 0, 1, ..., equal for equal ones."""
+    by = np.argsort(x)
+    held = x[by]
+    out = np.empty(len(x), np.int64)
+    out[by] = np.concatenate([[0], np.cumsum(held[1:] != held[:-1])]) if len(x) else by
+    return out
+
+
+def heads_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The first eight bytes at each start, as numbers that compare as the bytes do."""
+    return sliding_window_view(data, 8)[starts].view(">u8").ravel().astype(np.uint64)
+
+
+def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Ranks, by their bytes, of the strings of ``length`` bytes at starts: a suffix array's order by prefix doubling. Equal strings, and no others, have equal ranks."""
+    n, width = len(data), 8
+    rank = dense(heads_of(np.concatenate([data, np.zeros(8, np.uint8)]), np.arange(n)))
+    while 2 * width <= length:
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - width] = rank[width:]
+        rank, width = dense(rank * n + ahead), 2 * width
+    return dense(rank[starts] * n + rank[starts + length - width])
+
+
+def compare(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, length: int) -> np.ndarray:
+    """Byte by byte, pairs of strings (of ``a`` at ``at``, of ``b`` at ``bt``): negative, zero or positive. Short prefixes are compared first."""
+    out = np.zeros(len(at), np.int16)
+    for lo, hi in ((0, min(48, length)), (min(48, length), length)):
+        open_ = np.flatnonzero(out == 0)
+        for i in range(0, len(open_) if lo < hi else 0, 8192):
+            some = open_[i : i + 8192]
+            x, y = sliding_window_view(a, hi - lo)[at[some] + lo], sliding_window_view(b, hi - lo)[bt[some] + lo]
+            first = (np.arange(len(some)), (x != y).argmax(axis=1))
+            out[some] = x[first].astype(np.int16) - y[first]
+    return out
+
+
+@dataclass
+class Level:
+    """Windows in suffix order, none twice: the bytes they lie in, starts, ids, first eight bytes, and which of them were told to be repeated."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+    heads: np.ndarray
+    told: np.ndarray
+
+    def places(self, other: Level, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the windows of another level, in order: the place here of the first window that isn't less, and whether it's equal.
+
+        First bytes are merged in order; what ties there is told by comparing bytes.
+        """
+        lo, hi = (np.searchsorted(self.heads, other.heads, side) for side in ("left", "right"))
+        equal = np.zeros(len(lo), bool)
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
+            mid = (lo[todo] + hi[todo]) >> 1
+            c = compare(self.data, self.starts[mid], other.data, other.starts[todo], length)
+            hi[todo] = np.where(c > 0, mid, hi[todo])
+            lo[todo] = np.where(c > 0, lo[todo], mid + (c < 0))
+            equal[todo[c == 0]] = True
+            todo = todo[(c != 0) & (lo[todo] < hi[todo])]
+        return lo, equal
+
+    def merged(self, other: Level, length: int) -> Level:
+        """Both levels, which share no window, as one."""
+        at = self.places(other, length)[0]
+        cols = [np.insert(mine, at, its) for mine, its in ((self.starts, other.starts + len(self.data)), (self.ids, other.ids), (self.heads, other.heads), (self.told, other.told))]
+        return Level(np.concatenate([self.data, other.data]), *cols)
+
+
 class IndexFamily:
-    """Levels of sorted windows, each as large as all that were merged into it; a window is in one level at most.
+    """A logarithmic family of suffix arrays. A window (string of ``length`` bytes) is in one level at most, and all matches are of bytes, not hashes.
 
-    Order: the first two bytes, then a fingerprint of the window; equal windows are neighbours, which is all that a search
-    for matches of this length needs. A second fingerprint confirms each match. ``repeated`` gathers ids of windows that occur again.
+    ``repeated`` gathers ids of windows that occur again.
     """
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, length: int) -> None:
+        self.length, self.bytes = length, 0
+        self.levels: list[Level] = []
         self.repeated: list[np.ndarray] = []
 
-    def add(self, order: np.ndarray, check: np.ndarray, ids: np.ndarray) -> None:
-        by = np.argsort(order, kind="stable")
-        if (order[by][1:] == order[by][:-1]).any():
-            by = np.lexsort((check, order))
-        order, check, ids = order[by], check[by], ids[by]
-        same = np.concatenate([[False], (order[1:] == order[:-1]) & (check[1:] == check[:-1]), [False]])
+    def add(self, data: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
+        """A new batch: its suffix array is scanned against every level for windows that are there; the rest becomes a level."""
+        if not len(starts):
+            return
+        rank = suffix_ranks(data, starts, self.length)
+        by = np.argsort(rank, kind="stable")
+        same = np.concatenate([[False], rank[by][1:] == rank[by][:-1], [False]])
         found = same[:-1] | same[1:]
-        self.repeated.append(ids[found])
+        self.repeated.append(ids[by[found]])
         first = ~same[:-1]
-        order, check, ids, found = order[first], check[first], ids[first], found[first]
-        fresh = np.ones(len(order), bool)
-        for level, (held, confirm, own, told) in enumerate(self.levels):
-            at = np.searchsorted(held, order)
-            todo = np.flatnonzero(at < len(held))
-            while len(todo):  # once, but for equal orders with different checks
-                todo = todo[held[at[todo]] == order[todo]]
-                hit = confirm[at[todo]] == check[todo]
-                mine, theirs = todo[hit], at[todo[hit]]
-                fresh[mine] = False
-                self.repeated.append(ids[mine[~found[mine]]])
-                self.repeated.append(own[theirs[~told[theirs]]])
-                told[theirs] = True
-                todo = todo[~hit]
-                at[todo] += 1
-                todo = todo[at[todo] < len(held)]
-        new = (order[fresh], check[fresh], ids[fresh], found[fresh])
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-            both = [np.concatenate(x) for x in zip(self.levels.pop(), new, strict=True)]
-            by = np.argsort(both[0], kind="stable")
-            new = tuple(x[by] for x in both)
-        self.levels.append(new)
-
-
-def _repeats(length: int):
-    """Contexts (key, d1, d2, lo, single, share, shares, ctx) of a task to runs (d1, d2, s, e) of bytes that repeat."""
+        batch = self._part(data, starts[by[first]], ids[by[first]], found[first])
+        for level in self.levels:
+            at, equal = level.places(batch, self.length)
+            old = at[equal]
+            self.repeated += [batch.ids[equal & ~batch.told], level.ids[old[~level.told[old]]]]
+            level.told[old] = True
+            if equal.any():
+                batch = Level(data, *[x[~equal] for x in (batch.starts, batch.ids, batch.heads, batch.told)])
+        self.bytes += len(data)
+        while self.levels and len(self.levels[-1].starts) <= 2 * len(batch.starts):
+            batch = self.levels.pop().merged(batch, self.length)
+        if len(batch.starts):
+            self.levels.append(batch)
+
+    @staticmethod
+    def _part(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, told: np.ndarray) -> Level:
+        return Level(data, starts, ids, heads_of(data, starts), told)
+
+
+def _runs(family: IndexFamily, rows: list[np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
+    """What a family found as runs (d1, d2, s, e) of bytes; rows: (d1, d2, lo, single, ...) of its contexts."""
+    meta = np.concatenate(rows)
+    ids = np.unique(np.concatenate([np.zeros(0, np.int64), *family.repeated]))
+    ids = ids[meta[ids >> 12, 3] == 1]
+    if not len(ids):
+        return
+    cut = np.concatenate([[True], ids[1:] != ids[:-1] + 1])
+    first, last = ids[cut], ids[np.append(np.flatnonzero(cut)[1:], len(ids)) - 1]
+    of = meta[first >> 12]
+    s = of[:, 2] + (first & 4095)
+    e = of[:, 2] + (last & 4095) + length
+    for i in range(0, len(s), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (of[:, 0], of[:, 1], s, e)], names=["d1", "d2", "s", "e"])
+
+
+def _repeats(length: int, family_bytes: int):
+    """Contexts (key, d1, d2, lo, single, share, shares, ctx) of a task, by key and share, to runs (d1, d2, s, e) of bytes that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, rows, total = IndexFamily(), [], 0
+        family, rows, total, last = IndexFamily(length), [], 0, None
         for batch in batches:
-            meta = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d1", "d2", "lo", "single", "share", "shares")], axis=1)
+            meta = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d1", "d2", "lo", "single", "share", "shares", "key")], axis=1)
             ctx = batch.column("ctx")
             size = pc.binary_length(ctx).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = meta[:, [6, 4]]
+            change = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
             a = 0
             while a < len(size):
+                if family.bytes > family_bytes and not np.array_equal(last, group[a]):
+                    yield from _runs(family, rows, length)
+                    family, rows, total = IndexFamily(length), [], 0
                 ends = np.cumsum(size[a:])
                 b = a + max(1, int(np.searchsorted(ends, PIECE, side="right")))
+                if family.bytes > family_bytes:  # end with the key, to begin anew behind it
+                    ahead = change[change > a]
+                    b = min(b, int(ahead[0])) if len(ahead) else b
                 data = np.frombuffer(b"".join(ctx[a:b].to_pylist()), np.uint8)
                 n = size[a:b] - length + 1
                 which = np.repeat(np.arange(b - a), n)
                 offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(ends[: b - a] - size[a:b], n) + offset
-                check, order = Rolling(data, BASE + 2).some(start, length), Rolling(data).some(start, length)
                 if (meta[a:b, 5] > 1).any():
-                    own = order % meta[a:b, 5][which].astype(np.uint64) == meta[a:b, 4][which].astype(np.uint64)
-                    which, offset, start, check, order = which[own], offset[own], start[own], check[own], order[own]
-                two = (data[start].astype(np.uint64) << np.uint64(56)) | (data[start + 1].astype(np.uint64) << np.uint64(48))
-                family.add(two | (order >> np.uint64(16)), check, ((which + total) << 12) | offset)
+                    deal = Rolling(data).some(start, length)
+                    own = deal % meta[a:b, 5][which].astype(np.uint64) == meta[a:b, 4][which].astype(np.uint64)
+                    which, offset, start = which[own], offset[own], start[own]
+                family.add(data, start, ((which + total) << 12) | offset)
                 rows.append(meta[a:b, :4])
-                total += b - a
-                a = b
-        if not rows:
-            return
-        meta = np.concatenate(rows)
-        ids = np.sort(np.concatenate(family.repeated))
-        ids = ids[meta[ids >> 12, 3] == 1]
-        if not len(ids):
-            return
-        cut = np.concatenate([[True], ids[1:] != ids[:-1] + 1])
-        first, last = ids[cut], ids[np.append(np.flatnonzero(cut)[1:], len(ids)) - 1]
-        of = meta[first >> 12]
-        s = of[:, 2] + (first & 4095)
-        e = of[:, 2] + (last & 4095) + length
-        for i in range(0, len(s), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (of[:, 0], of[:, 1], s, e)], names=["d1", "d2", "s", "e"])
+                total, last, a = total + b - a, group[b - 1], b
+        if rows:
+            yield from _runs(family, rows, length)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 40, share_rows: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 40, share_rows: int = 20_000, family_bytes: int = 1 << 25) -> DataFrame:
     """Rows (d1, d2, s, e): byte spans of the text with these two hashes that are covered by repeated strings; they may overlap."""
     if not 8 <= gram < length <= 2048:
         raise ValueError("8 <= gram < length <= 2048 is needed")
@@ -246,8 +328,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, gram:
     once = t.dropDuplicates(["d1", "d2"])
     contexts = once.join(lists, ["d1", "d2"]).mapInArrow(slices, "d1 long, d2 long, key long, lo long, single boolean, shares int, ctx binary")
     shared = contexts.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    dealt = shared.repartition(parts, "key", "share")
-    return whole.union(dealt.mapInArrow(_repeats(length), "d1 long, d2 long, s long, e long"))
+    dealt = shared.repartition(parts, "key", "share").sortWithinPartitions("key", "share")
+    return whole.union(dealt.mapInArrow(_repeats(length, family_bytes), "d1 long, d2 long, s long, e long"))
 
 
 def _hashes(text: str):

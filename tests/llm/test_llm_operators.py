@@ -107,17 +107,32 @@ def test_suffix_dedup_in_pieces_and_shares(spark, monkeypatch):
     assert {(k, len(v)) for k, v in hit.items()} == want
 
 
-def test_index_family():
-    rng = np.random.default_rng(0)
-    family, seen = suffix_dedup.IndexFamily(), defaultdict(list)
+@pytest.mark.parametrize("length", [9, 20, 64, 100])
+def test_index_family(length):
+    rng = np.random.default_rng(length)
+    family, seen = suffix_dedup.IndexFamily(length), defaultdict(list)
+    known = rng.integers(0, 3, 4000).astype(np.uint8)
     for k in range(40):
-        order, check = rng.integers(0, 400, 30).astype(np.uint64), rng.integers(0, 3, 30).astype(np.uint64)
-        ids = np.arange(30) + 30 * k
-        for o, c, i in zip(order.tolist(), check.tolist(), ids.tolist(), strict=True):
-            seen[o, c].append(i)
-        family.add(order, check, ids)
+        parts = [rng.integers(0, 2, length + 10) * 255, known[(at := rng.integers(0, 3700)) : at + length + 30], np.zeros(length + 3)]
+        data = np.concatenate(parts).astype(np.uint8)
+        starts = np.flatnonzero(rng.random(len(data) - length + 1) < 0.7)
+        ids = starts + 10_000 * k
+        for i, at in zip(ids.tolist(), starts.tolist(), strict=True):
+            seen[data[at : at + length].tobytes()].append(i)
+        family.add(data, starts, ids)
     assert sorted(set(np.concatenate(family.repeated).tolist())) == sorted(i for v in seen.values() if len(v) > 1 for i in v)
-    assert len(family.levels) <= 8
+    assert sum(len(x.starts) for x in family.levels) == len(seen) and len(family.levels) <= 12
+    for x in family.levels:
+        held = [x.data[at : at + length].tobytes() for at in x.starts.tolist()]
+        assert held == sorted(held)
+
+
+def test_suffix_dedup_in_small_families(spark):
+    """A task that begins a new family at nearly every key finds the same."""
+    rows = some_docs(8)
+    runs = lambda **how: {tuple(r) for r in suffix_dedup.repeated_spans(table(spark, rows), length=60, gram=16, **how).collect()}
+    cut = lambda found: {(d, x) for d, _, s, e in found for x in range(s, e)}
+    assert cut(runs(family_bytes=1)) == cut(runs()) != set()
 
 
 def line_truth(rows, threshold=0.8):
