@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from lexispark.scratch import spill
 
 PIECE = 1 << 19
+HEAVY = 1000
 BASE = 0x9E3779B97F4A7C15
 _tables: dict[int, np.ndarray] = {}
 
@@ -274,6 +275,17 @@ def _repeats(length: int, family_bytes: int):
     return run
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """Written rows joined with their groups, which have the number ``c`` of their rows each.
+
+    At most ``HEAVY`` groups have over a ``HEAVY``-th of all rows; these are broadcast, so that no task gets all rows of a hot key.
+    """
+    most = rows.count() // HEAVY
+    heavy, light = groups.where(F.col("c") > most), groups.where(F.col("c") <= most)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(heavy), on).unionByName(rest.join(light, on))
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 40, share_rows: int = 20_000, family_bytes: int = 1 << 25) -> DataFrame:
     """Rows (d1, d2, s, e): byte spans of the text with these two hashes that are covered by repeated strings; they may overlap."""
     if not 8 <= gram < length <= 2048:
@@ -297,11 +309,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, gram:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], names=names)
 
     all_anchors = spill(t.mapInArrow(find, "d1 long, d2 long, key long, ctx long, lo long, n long"), "anchors")
-    keys = all_anchors.groupBy("key").agg(F.count("*").alias("c"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c > 1")
+    keys = all_anchors.groupBy("key").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("c > 1")
     token = F.xxhash64("d1", "d2", "lo")
-    again = spill(all_anchors.join(keys.select("key", (F.col("c0") != F.col("c1")).alias("mixed")), "key").withColumn("token", token), "repeated-anchors")
-    kinds = again.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min("token").alias("stands"))
-    known = again.join(kinds, ["key", "ctx"])
+    again = spill(_with_groups(all_anchors, spill(keys, "anchor-keys"), ["key"]).drop("c").withColumn("token", token), "repeated-anchors")
+    kinds = spill(again.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min("token").alias("stands")), "contexts")
+    known = _with_groups(again, kinds, ["key", "ctx"])
     whole = known.where("c > 1").select("d1", "d2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (length - 1)).alias("e")).distinct()
     hot = kinds.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > share_rows)
     need = known.where("mixed and token = stands").select("d1", "d2", "key", "lo", "n", (F.col("c") == 1).alias("single")).distinct()
