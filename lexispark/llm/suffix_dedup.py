@@ -34,7 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.scratch import spill
+from lexispark.scratch import drop, spill, sweep
 
 PIECE = 1 << 19
 HEAVY = 1000
@@ -311,7 +311,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, gram:
     all_anchors = spill(t.mapInArrow(find, "d1 long, d2 long, key long, ctx long, lo long, n long"), "anchors")
     keys = all_anchors.groupBy("key").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("c > 1")
     token = F.xxhash64("d1", "d2", "lo")
-    again = spill(_with_groups(all_anchors, spill(keys, "anchor-keys"), ["key"]).drop("c").withColumn("token", token), "repeated-anchors")
+    keys = spill(keys, "anchor-keys")
+    again = spill(_with_groups(all_anchors, keys, ["key"]).drop("c").withColumn("token", token), "repeated-anchors")
+    drop(all_anchors, keys)
+    del all_anchors, keys
+    sweep(docs.sparkSession)
     kinds = spill(again.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min("token").alias("stands")), "contexts")
     known = _with_groups(again, kinds, ["key", "ctx"])
     whole = known.where("c > 1").select("d1", "d2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (length - 1)).alias("e")).distinct()
