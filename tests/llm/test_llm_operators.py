@@ -204,6 +204,19 @@ def test_line_dedup_links_in_large_buckets(spark):
     same(got, want)
 
 
+def test_line_dedup_in_slices(spark, monkeypatch):
+    """However many tokens and pairs there are, a join gets a slice of them only, and no link is lost by that."""
+    lines = line_dedup.lines_of(spark.createDataFrame(passage_lines(9, 20), SCHEMA), "doc_id", "text")
+    names, spill = [], line_dedup.spill
+    monkeypatch.setattr(line_dedup, "spill", lambda df, name: names.append(name) or spill(df, name))
+    monkeypatch.setattr(line_dedup, "log2", lambda c: 0)  # tokens by hash alone, so that the passage is among them
+    roots = line_dedup.line_roots(lines, room=1200).collect()
+    assert len(roots) == 40 and len({r.root for r in roots}) == 20
+    assert names.count("met") > 1
+    parts = [[r.id for r in part.collect()] for part in line_dedup.in_slices(spark.range(100), F.xxhash64("id"), 100, 30)]
+    assert len(parts) == 4 and sorted(sum(parts, [])) == list(range(100))
+
+
 def test_line_dedup_without_spaces(spark):
     rng, lines = random.Random(12), []
     for at in (0, 0, 1, 7, 30, 30, 60):
