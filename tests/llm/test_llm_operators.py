@@ -217,6 +217,32 @@ def test_line_dedup_in_slices(spark, monkeypatch):
     assert len(parts) == 4 and sorted(sum(parts, [])) == list(range(100))
 
 
+def rows_of_tokens(spark, after=-1):
+    """Rows that Spark has made of arrays of tokens in queries whose number is over ``after``, and the largest number."""
+    store, made, last = spark._jsparkSession.sharedState().statusStore(), 0, after
+    ran = store.executionsList()
+    for e in (ran.apply(i) for i in range(ran.size())):
+        if e.executionId() > after:
+            last, values, nodes = max(last, e.executionId()), store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                if node.name() == "Generate" and "token" in node.desc().split("[")[-1]:
+                    made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if values.contains(m.accumulatorId()))
+    return made, last
+
+
+def test_line_dedup_makes_rows_of_tokens_once(spark, monkeypatch):
+    """The rows made of arrays of tokens don't grow with the number of slices and rounds."""
+    lines = line_dedup.lines_of(spark.createDataFrame(passage_lines(9, 20), SCHEMA), "doc_id", "text")
+    names, spill = [], line_dedup.spill
+    monkeypatch.setattr(line_dedup, "spill", lambda df, name: names.append(name) or spill(df, name))
+    monkeypatch.setattr(line_dedup, "log2", lambda c: 0)
+    last = rows_of_tokens(spark)[1]
+    roots = line_dedup.line_roots(lines, crowd=4, room=1200).collect()
+    assert len(roots) == 40 and len({r.root for r in roots}) == 20
+    tokens = line_dedup.rare_shingles(lines.where("h is not null").select("h", "line").distinct(), 8, 0.8).count()
+    assert names.count("open-tokens") > 4 and 0 < rows_of_tokens(spark, last)[0] <= 3 * tokens  # one time is the count of them here
+
+
 def test_line_dedup_without_spaces(spark):
     rng, lines = random.Random(12), []
     for at in (0, 0, 1, 7, 30, 30, 60):
