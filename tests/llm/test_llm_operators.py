@@ -243,6 +243,22 @@ def test_line_dedup_makes_rows_of_tokens_once(spark, monkeypatch):
     assert names.count("open-tokens") > 4 and 0 < rows_of_tokens(spark, last)[0] <= 3 * tokens  # one time is the count of them here
 
 
+def test_line_dedup_sketches_tell_nearly_alike_lines(spark):
+    """Sketches of long lines differ in no more bits than their sets in shingles, and tell most pairs that are just not alike without their texts."""
+    rng, rows = random.Random(5), []
+    for i in range(20):
+        x = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=440))
+        rows += [(2 * i, x), (2 * i + 1, x[:380] + "".join(rng.choices("ABCDEFGHIJ", k=60)))]  # 60 of 433 shingles are others: a similarity of 0.76
+    sets = {h: {x[i : i + 8] for i in range(len(x) - 7)} for h, x in rows}
+    got = {h: (n, sketch) for h, n, sketch in line_dedup.sketches(spark.createDataFrame(rows, "h long, line string"), 8).collect()}
+    told = 0
+    for i in range(0, 40, 2):
+        differ = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(got[i][1], got[i + 1][1], strict=True))
+        assert differ <= len(sets[i] ^ sets[i + 1]) and len(sets[i] & sets[i + 1]) < 0.8 * len(sets[i] | sets[i + 1])
+        told += 1.8 * differ > 0.2 * (got[i][0] + got[i + 1][0])
+    assert told >= 15
+
+
 def test_line_dedup_without_spaces(spark):
     rng, lines = random.Random(12), []
     for at in (0, 0, 1, 7, 30, 30, 60):
