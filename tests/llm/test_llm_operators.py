@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexispark.llm.components import components
-from lexispark.llm import chat, decontaminate, exact_dedup, lang_id, line_dedup, packing, queries, simhash, suffix_dedup, url_filter, warc
+from lexispark.llm import chat, decontaminate, exact_dedup, lang_id, line_dedup, packing, queries, sieve, simhash, suffix_dedup, url_filter, warc
 from lexispark.scratch import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -259,6 +259,19 @@ def test_line_dedup_sketches_tell_nearly_alike_lines(spark):
     assert told >= 15
 
 
+def test_sieve_words_are_in_place(spark):
+    """The bitmap's words are sorted, not looked up one by one, and no member is lost by it, whatever their number."""
+    for count in (0, 1, 30, 5000):
+        members = spark.range(count).select(F.xxhash64("id").alias("m"))
+        df = spark.range(0, 2 * count + 50).select("id", F.xxhash64("id").alias("x"))
+        told = sieve.passing(df, F.col("x"), members)
+        assert "element_at" not in told._jdf.queryExecution().optimizedPlan().toString()
+        got = {r["id"]: r["may_be_member"] for r in told.collect()}
+        assert len(got) == 2 * count + 50 and all(got[i] for i in range(count))
+        assert sum(got[i] for i in range(count, 2 * count + 50)) <= 0.15 * (count + 50)
+    assert sieve.members_only(spark.sql("select cast(null as bigint) x"), F.col("x"), spark.range(3).select("id")).count() == 0
+
+
 def test_line_dedup_without_spaces(spark):
     rng, lines = random.Random(12), []
     for at in (0, 0, 1, 7, 30, 30, 60):
