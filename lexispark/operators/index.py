@@ -1,13 +1,19 @@
-"""The index tables, built from a collection with DataFrame operations only."""
+"""The index tables, built from a collection: documents are inverted to runs of postings (:mod:`lexispark.functions.runs`) once, all else are DataFrame operations on these."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexispark.functions.runs import lengths_of, rows_of, runs_of
 from lexispark.schema import MAX_TERM_LENGTH
+from lexispark.scratch import spill
+
+PART_BYTES = 32 << 20  # of text in a task
+PART_ROWS = 2_000_000  # postings in a task, where rows are sorted
 
 
 def tokens(docs: DataFrame, docid: str = "doc_id", text: str = "text", max_term_length: int = MAX_TERM_LENGTH) -> DataFrame:
@@ -52,24 +58,49 @@ def dense_ids(df: DataFrame, order: str, name: str) -> DataFrame:
     return lead.join(before, "_lead").withColumn(name, F.col("_before") + rank - 1).drop("_lead", "_before")
 
 
+def parts_for(docs: DataFrame, text: str, least: int = 8) -> int:
+    """Tasks in proportion to the documents' bytes."""
+    return max(least, ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / PART_BYTES))
+
+
+def inverted(docs: DataFrame, docid: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents' runs of postings."""
+    return runs_of(docs, docid, text, MAX_TERM_LENGTH, parts_for(docs, text))
+
+
+def stats_of_runs(runs: DataFrame) -> DataFrame:
+    """term, df, cf, maxtf, sum_last_position, from runs."""
+    of = runs.where("term is not null").groupBy("term")
+    return of.agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("maxtf").alias("maxtf"), F.sum("sum_last").alias("sum_last_position"))
+
+
+def lexicon_of_runs(runs: DataFrame) -> DataFrame:
+    """As :func:`lexicon_of`, from runs."""
+    return dense_ids(stats_of_runs(runs), "term", "termid").select("term", "termid", "df", "cf", "maxtf", "sum_last_position")
+
+
 @dataclass
 class TextIndex:
-    """A collection's index: postings with termids, lexicon, document lengths and statistics, all lazy DataFrames."""
+    """A collection's index: postings with termids, lexicon, document lengths and statistics, all lazy DataFrames; of one that was built, its runs too."""
 
     postings: DataFrame
     lexicon: DataFrame
     doc_lengths: DataFrame
+    runs: DataFrame | None = None
 
     @classmethod
-    def build(cls, docs: DataFrame, docid: str = "doc_id", text: str = "text", stopwords: DataFrame | None = None) -> TextIndex:
-        toks = tokens(docs, docid, text)
+    def build(cls, docs: DataFrame, docid: str = "doc_id", text: str = "text", stopwords: DataFrame | None = None, work: str | None = None) -> TextIndex:
+        """The documents are read once: their runs, and the lexicon, are written to the folder ``work``, by default in the shared folder."""
+        runs = spill(inverted(docs, docid, text), "runs", work and f"{work}/runs")
+        lengths = lengths_of(runs.where("term is null")).groupBy("docid").agg(F.sum("tf").alias("length"))
         if stopwords is not None:
-            toks = without(toks, stopwords)
-        posts = postings_of(toks)
-        lexicon = lexicon_of(posts)
-        lengths = posts.groupBy("docid").agg(F.sum("tf").alias("length"))
+            stop = stopwords.select("term").where("term is not null").distinct()
+            less = lengths_of(runs.join(stop, "term", "left_semi")).groupBy("docid").agg(F.sum(-F.col("tf")).alias("length"))
+            lengths = lengths.unionByName(less).groupBy("docid").agg(F.sum("length").alias("length"))
+            runs = runs.where("term is not null").join(stop, "term", "left_anti")
+        lexicon = spill(lexicon_of_runs(runs), "lexicon", work and f"{work}/lexicon")
         lengths = docs.select(F.col(docid).cast("long").alias("docid")).join(lengths, "docid", "left").select("docid", F.coalesce("length", F.lit(0)).alias("length"))
-        return cls(posts.join(lexicon.select("term", "termid"), "term").select("term", "termid", "docid", "tf", "positions"), lexicon, lengths)
+        return cls(rows_of(runs.join(lexicon.select("term", "termid"), "term")), lexicon, lengths, runs)
 
     @property
     def spark(self) -> SparkSession:
@@ -95,21 +126,34 @@ class TextIndex:
         """Postings with the document's length; Spark broadcasts the lengths only while they are small."""
         return self.postings.join(self.doc_lengths, "docid")
 
+    def parts(self) -> int:
+        """Tasks in proportion to the postings."""
+        return parts_of_rows(self.spark, self.lexicon.agg(F.sum("df")).first()[0] or 0)
+
+    def by_term(self, *columns: str) -> DataFrame:
+        """Postings' columns dealt by termid, for windows by term: tasks don't grow with the input, but for the longest list."""
+        return self.postings.select(*columns).repartition(self.parts(), "termid")
+
     def ordinals(self) -> DataFrame:
-        """Postings with ord, the 0-based rank in the term's list."""
-        return self.postings.withColumn("ord", (F.row_number().over(Window.partitionBy("termid").orderBy("docid")) - 1).cast("long"))
+        """Postings (term, termid, docid, tf) with ord, the 0-based rank in the term's list."""
+        return self.by_term("term", "termid", "docid", "tf").withColumn("ord", (F.row_number().over(Window.partitionBy("termid").orderBy("docid")) - 1).cast("long"))
 
     def direct(self) -> DataFrame:
         """The transposed index: docid, termid, tf; documents' lists are together and sorted once it's written (:func:`lexispark.sources.store.write_direct`)."""
         return self.postings.select("docid", "termid", "tf")
 
 
-def next_geq(lists: DataFrame, probes: DataFrame, group: str, item: str, target: str = "target") -> DataFrame:
-    """For each probe (group, target): hit, the first item of the group's list at or above target; null past the end.
+def parts_of_rows(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / PART_ROWS))
+
+
+def next_geq(lists: DataFrame, probes: DataFrame, group: str, item: str, target: str = "target", parts: int = 0) -> DataFrame:
+    """For each probe (group, target): hit, the first item of the group's list at or above target; null past the end. parts: tasks, by default as many as the session's.
 
     One union and one window: going down from the largest, the least item so far is the hit, so each row is looked at once.
     """
     rows = lists.select(group, F.col(item).alias("at"), F.lit(1).alias("real")).unionByName(probes.select(group, F.col(target).alias("at"), F.lit(0).alias("real")))
+    rows = rows.repartition(parts, group) if parts else rows
     down = Window.partitionBy(group).orderBy(F.desc("at"), F.desc("real")).rowsBetween(Window.unboundedPreceding, 0)
     hit = F.min(F.when(F.col("real") == 1, F.col("at"))).over(down)
     return rows.withColumn("hit", hit).where("real = 0").select(group, F.col("at").alias(target), "hit")

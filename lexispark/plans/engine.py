@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.blobs import decode_lists, seek_in_lists
-from lexispark.operators.index import TextIndex, next_geq
+from lexispark.operators.index import TextIndex, next_geq, parts_of_rows
 from lexispark.schema import LOG2_QUANTUM
+from lexispark.scratch import delete
 from lexispark.sources import store
 
 
@@ -18,7 +21,11 @@ class Engine:
         self.spark, self.path = spark, path
 
     def build(self, docs: DataFrame, docid: str = "doc_id", text: str = "text", stopwords: DataFrame | None = None, positions: bool = False, partitions: int = 8) -> Engine:
-        store.write_index(TextIndex.build(docs, docid, text, stopwords), self.path, positions, partitions=partitions)
+        """Intermediate tables stand beside the folder, and are deleted when the index is complete."""
+        store.vacant(self.spark, self.path)
+        work = f"{self.path.rstrip('/')}-work-{uuid.uuid4().hex}"
+        store.write_index(TextIndex.build(docs, docid, text, stopwords, work), self.path, positions, partitions=partitions)
+        delete(self.spark, work)
         return self
 
     def compress(self, target: str, positions: bool = False, partitions: int = 8, log2_quantum: int = LOG2_QUANTUM) -> Engine:
@@ -36,6 +43,10 @@ class Engine:
     def properties(self) -> dict[str, str]:
         return store.properties(self.spark, self.path)
 
+    def parts(self) -> int:
+        """Tasks in proportion to the postings."""
+        return parts_of_rows(self.spark, int(self.properties()["num_pointers"]))
+
     def has_positions(self) -> bool:
         return self.properties().get("has_positions") == "true"
 
@@ -71,8 +82,8 @@ class Engine:
         """Probes (term, target) to (term, target, hit); in an encoded index by the lists' pointers."""
         kept = self.properties()
         if kept["inverted"] == "lists":
-            return seek_in_lists(self.lists(), probes, int(kept["num_documents"]), int(kept["log2_quantum"]))
-        return next_geq(self.index().postings, probes, "term", "docid")
+            return seek_in_lists(self.lists(), probes, int(kept["num_documents"]), int(kept["log2_quantum"]), self.parts())
+        return next_geq(self.index().postings, probes, "term", "docid", parts=self.parts())
 
     def direct(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/direct")

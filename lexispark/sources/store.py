@@ -5,11 +5,14 @@ Properties are written last and say ``complete``: a folder without them isn't an
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.blobs import decode_direct, decode_lists, encode_direct, encode_lists
-from lexispark.operators.index import TextIndex, running_offsets
+from lexispark.functions.runs import rows_of
+from lexispark.operators.index import PART_ROWS, TextIndex, running_offsets
 from lexispark.schema import LOG2_QUANTUM
 
 DIRECT_QUANTUM = 8
@@ -20,17 +23,49 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _vacant(spark: SparkSession, path: str) -> None:
+def vacant(spark: SparkSession, path: str) -> None:
     if exists(spark, path):
         raise FileExistsError(f"{path} exists already")
 
 
+def parts_for(partitions: int, index_rows: int) -> int:
+    """Tasks and files: at least ``partitions``, and in proportion to the postings."""
+    return max(partitions, ceil(index_rows / PART_ROWS))
+
+
+def dealt(table: DataFrame, order: str, weight: str, parts: int) -> DataFrame:
+    """The table (ids ``order``, and a number ``weight``) with pid: ``parts`` ranges of ids of about equal weights."""
+    weighed = table.select("*", F.expr(weight).cast("long").alias("_weight"))
+    total = weighed.agg(F.sum("_weight")).first()[0] or 0
+    before = running_offsets(weighed, order, {"_weight": "_before"})
+    return before.withColumn("pid", F.expr(f"cast(least({parts - 1}, _before div {max(1, ceil(total / parts))}) as int)")).drop("_weight", "_before")
+
+
+def cuts_of(placed: DataFrame, order: str) -> list[int]:
+    """The first id of each range, in order; one at least. As many rows as there are tasks."""
+    return sorted(r[0] for r in placed.groupBy("pid").agg(F.min(order)).select(F.col(f"min({order})")).collect()) or [0]
+
+
+LIST_WEIGHT = "4 * df + 2 * cf + 16"
+
+
 def write_index(index: TextIndex, path: str, with_positions: bool = False, log2_quantum: int = LOG2_QUANTUM, partitions: int = 8) -> None:
-    """Write ``index``; fails if ``path`` exists. Postings are range-partitioned and sorted by termid, so row groups can be skipped."""
-    _vacant(index.spark, path)
-    posts = index.postings if with_positions else index.postings.withColumn("positions", F.lit(None).cast("array<int>"))
-    posts.repartitionByRange(partitions, "termid").sortWithinPartitions("termid", "docid").write.parquet(f"{path}/postings")
+    """Write ``index``; fails if ``path`` exists. Postings are range-partitioned and sorted by termid, so row groups can be skipped; a term is in one file.
+
+    There are ``partitions`` files at least, and more for more postings.
+    """
+    vacant(index.spark, path)
     _write_small(index, path, partitions)
+    lexicon = index.spark.read.parquet(f"{path}/lexicon")
+    parts = parts_for(partitions, lexicon.agg(F.sum("df")).first()[0] or 0)
+    placed = dealt(lexicon.select("term", "termid", "df", "cf"), "termid", LIST_WEIGHT, parts).select("term", "termid", "pid")
+    if index.runs is not None:
+        runs = index.runs.where("term is not null").join(placed, "term").repartitionById(parts, "pid").sortWithinPartitions("termid", "base")
+        posts = rows_of(runs, with_positions)
+    else:
+        posts = index.postings if with_positions else index.postings.withColumn("positions", F.lit(None).cast("array<int>"))
+        posts = posts.join(placed.select("termid", "pid"), "termid").repartitionById(parts, "pid").sortWithinPartitions("termid", "docid")
+    posts.select("term", "termid", "docid", "tf", "positions").write.parquet(f"{path}/postings")
     write_properties(index.spark, path, {"log2_quantum": log2_quantum, "has_positions": with_positions, "aligned": True, "byte_order": "little", "inverted": "rows"})
 
 
@@ -80,12 +115,14 @@ def append_lexicon(lexicon: DataFrame, path: str) -> None:
 
 def write_compressed(spark: SparkSession, source: str, path: str, positions: bool = False, log2_quantum: int = LOG2_QUANTUM, partitions: int = 8) -> None:
     """Encode the stored index ``source`` to ``path``: lists as bit strings, a lexicon with their offsets, lengths, statistics, properties."""
-    _vacant(spark, path)
+    vacant(spark, path)
     index = open_index(spark, source)
     if positions and properties(spark, source)["has_positions"] != "true":
         raise ValueError("the index has no positions")
-    lists = encode_lists(index.postings, index.doc_lengths.count(), log2_quantum, positions)
-    lists.repartitionByRange(partitions, "termid").sortWithinPartitions("termid").write.parquet(f"{path}/ef_lists")
+    parts = parts_for(partitions, int(properties(spark, source)["num_pointers"]))
+    cuts = cuts_of(dealt(index.lexicon.select("termid", "df", "cf"), "termid", LIST_WEIGHT, parts), "termid")
+    lists = encode_lists(index.postings, index.doc_lengths.count(), log2_quantum, positions, cuts)
+    lists.write.parquet(f"{path}/ef_lists")
     bits = spark.read.parquet(f"{path}/ef_lists").select("termid", "docid_bits", "freq_bits", "position_bits")
     offsets = running_offsets(bits, "termid", {f"{c}_bits": f"{c}_offset" for c in ("docid", "freq", "position")})
     lexicon = index.lexicon.join(offsets.select("termid", "docid_offset", "freq_offset", "position_offset"), "termid").select(*index.lexicon.columns, "docid_offset", "freq_offset", "position_offset")
@@ -98,11 +135,12 @@ def write_direct(spark: SparkSession, path: str, partitions: int = 8) -> None:
     kept = properties(spark, path)
     if kept.get("aligned") != "true":
         raise ValueError("termids must follow the order of terms")
-    _vacant(spark, f"{path}/direct")
+    vacant(spark, f"{path}/direct")
     index = open_index(spark, path)
-    index.direct().repartitionByRange(partitions, "docid").sortWithinPartitions("docid", "termid").write.parquet(f"{path}/direct")
-    lists = encode_direct(spark.read.parquet(f"{path}/direct"), index.doc_lengths, int(kept["num_terms"]), DIRECT_QUANTUM)
-    lists.repartitionByRange(partitions, "docid").sortWithinPartitions("docid").write.parquet(f"{path}/direct_lists")
+    parts = parts_for(partitions, int(kept["num_pointers"]))
+    index.direct().repartitionByRange(parts, "docid").sortWithinPartitions("docid", "termid").write.parquet(f"{path}/direct")
+    cuts = cuts_of(dealt(index.doc_lengths, "docid", "length + 16", parts), "docid")
+    encode_direct(spark.read.parquet(f"{path}/direct"), index.doc_lengths, int(kept["num_terms"]), DIRECT_QUANTUM, cuts).write.parquet(f"{path}/direct_lists")
     bits = spark.read.parquet(f"{path}/direct_lists").select("docid", "n_terms", "termid_bits", "freq_bits")
     entries = running_offsets(bits, "docid", {"termid_bits": "termid_offset", "freq_bits": "freq_offset"})
     entries.select("docid", "n_terms", "termid_offset", "freq_offset").repartitionByRange(partitions, "docid").sortWithinPartitions("docid").write.parquet(f"{path}/direct_entries")

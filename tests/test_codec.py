@@ -127,3 +127,83 @@ def test_stopwords_and_empty(spark):
     assert [r["term"] for r in TextIndex.build(docs, stopwords=stop).lexicon.collect()] == ["cat"]
     assert tuple(TextIndex.build(docs.limit(0)).stats().first()) == (0, 0, 0, 0)
     assert term_partitions(10, 3) == [(0, 3), (3, 6), (6, 10)]
+
+
+@given(st.lists(st.lists(st.integers(1, 300), min_size=1, max_size=6), min_size=1, max_size=6), st.sets(st.integers(0, 900), max_size=codec.FEW), st.sampled_from([1, 2, 3, 8]))
+@settings(max_examples=200, deadline=None)
+def test_short_lists_have_the_same_bits(gaps, docs, q):
+    d = np.array(sorted(docs), np.int64)
+    bits = codec.encode_docids(d, 901, q)
+    assert codec.packed_docids(d, 901, q) == (codec.pack(bits), len(bits))
+    assert list(codec.read_docids(codec.pack(bits), len(d), 901, q)) == d.tolist()
+    tfs = np.array([len(g) for g in gaps])
+    cf, flat = int(tfs.sum()), np.concatenate([np.cumsum(g) - 1 for g in gaps])
+    bits = codec.encode_freqs(tfs, cf, q)
+    assert codec.packed_freqs(tfs, cf, q) == (codec.pack(bits), len(bits))
+    assert list(codec.read_freqs(codec.pack(bits), len(tfs), cf, q)) == tfs.tolist()
+    bits = codec.encode_flat_positions(flat, tfs, q)
+    assert codec.packed_positions(flat, tfs, q) == (codec.pack(bits), len(bits))
+    u = len(tfs) + int(flat[np.cumsum(tfs) - 1].sum())
+    assert list(codec.read_positions(codec.pack(bits), tfs.tolist(), cf, u, q)) == flat.tolist()
+
+
+def test_long_lists_take_little_memory():
+    """A frequent term's list in a larger collection: a few bytes for each of its elements, not some for each of its bits."""
+    import tracemalloc
+
+    n = 400_000
+    x = np.full(n, 100)
+    tracemalloc.start()
+    bits = codec.encode(x, 100 * n + 77, 3, False, True)
+    assert np.array_equal(codec.decode(bits, n, 100 * n + 77, 3, False, True), 100 * np.arange(1, n + 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * n
+
+
+def test_index_in_many_parts_with_hard_keys(spark, monkeypatch):
+    """Repeated, null and negative docids, long lists, many parts: rows, lists and the transposed index equal brute force."""
+    import re
+    from collections import Counter, defaultdict
+
+    from lexispark.functions import runs
+    from lexispark.operators import index as ops
+
+    rows = [(i % 7 - 2 if i > 50 else i, f"the cat {i % 5} The {'x' * (i % 30)} é{i}z the") for i in range(90)] + [(None, "the null"), (None, "null the"), (200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want: dict = defaultdict(list)
+    for d, t in sorted(rows, key=repr):
+        for pos, w in enumerate(re.findall("[A-Za-z0-9]+", t or "")):
+            if len(w) <= 20:
+                want[w.lower(), d].append(pos)
+    monkeypatch.setattr(ops, "PART_BYTES", 200)
+    monkeypatch.setattr(store, "PART_ROWS", 40)
+    e = Engine(spark, new_path(spark, "index")).build(docs, positions=True, partitions=2)
+    got = {(r["term"], r["docid"]): sorted(r["positions"]) for r in e.index().postings.collect()}
+    assert got == {k: sorted(v) for k, v in want.items()}
+    assert all(r["tf"] == len(r["positions"]) for r in e.index().postings.collect())
+    lengths = Counter()
+    for (_, d), v in want.items():
+        lengths[d] += len(v)
+    assert sorted(map(repr, map(tuple, e.index().doc_lengths.collect()))) == sorted(repr((d, lengths[d] if d is not None else 0)) for d, _ in rows)
+    df = Counter(t for t, _ in want)
+    assert {r["term"]: (r["termid"], r["df"]) for r in e.lexicon().collect()} == {t: (i, df[t]) for i, t in enumerate(sorted(df))}
+    plain = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    p = Engine(spark, new_path(spark, "index")).build(plain, positions=True, partitions=2).transpose(2)
+    small = p.compress(new_path(spark, "index"), positions=True, partitions=2, log2_quantum=1)
+    key = lambda r: (r["term"], r["docid"], r["tf"], list(r["positions"]))
+    assert sorted(map(key, small.index().postings.collect())) == sorted(map(key, p.index().postings.collect()))
+    assert sorted(map(tuple, p.direct_lists().collect())) == sorted(map(tuple, p.direct().collect()))
+    probes = spark.createDataFrame([(t, x) for x in (-1, 0, 30, 92, 500) for t in ("the", "cat", "3", "absent")] + [(None, 3), ("cat", None)], "term string, target long")
+    hits = defaultdict(list)
+    for r in p.index().postings.collect():
+        hits[r["term"]].append(r["docid"])
+    found = {(r["term"], r["target"]): r["hit"] for r in small.seek_many(probes).collect()}
+    assert found == {(t, x): min((d for d in hits[t] if x is not None and d >= x), default=None) for t in ("the", "cat", "3") for x in (-1, 0, 30, 92, 500)} | {("cat", None): None}
+    stop = spark.createDataFrame([("the",), ("cat",)], "term string")
+    i = TextIndex.build(docs, stopwords=stop)
+    assert {(r["term"], r["docid"]) for r in i.postings.collect()} == {k for k in want if k[0] not in ("the", "cat")}
+    assert {r["docid"]: r["length"] for r in i.doc_lengths.collect() if r["docid"] is not None} == {d: sum(len(v) for (t, k), v in want.items() if k == d and t not in ("the", "cat")) for d in {d for d, _ in rows if d is not None}}
+    monkeypatch.setattr(runs, "GROUP", 5)  # in this process only
+    found = [r for b in runs._inverted(runs._Ids({b"a": 0, b"b": 1}), [3, 3, 9], [np.array([0, 1], np.int32), np.array([1], np.int32), np.array([], np.int32)], 20) for r in b.to_pylist()]
+    assert [(r["term"], r["base"], r["n"], r["cf"]) for r in found] == [(None, 3, 2, 3), ("a", 3, 1, 1), ("b", 3, 1, 2)]
