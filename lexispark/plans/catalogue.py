@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexispark.functions import udfs
 from lexispark.functions.blobs import decode_lists, seek_in_lists
 from lexispark.functions.sizes import ceil_log2, docid_sizes, floor_log2, lower_bits, position_header, strict_sizes
-from lexispark.operators.index import TextIndex, dense_ids, lexicon_of, merge_lexicons, next_geq, postings_of, running_offsets, subtract_lexicons, term_partitions, tokens
+from lexispark.operators.index import TextIndex, dense_ids, inverted, merge_lexicons, next_geq, running_offsets, stats_of_runs, subtract_lexicons, term_partitions, tokens
 from lexispark.plans.engine import Engine
 from lexispark.schema import MAX_TERM_LENGTH
 from lexispark.scratch import new_path, shared_dir
@@ -306,7 +306,7 @@ def direct_lists_by_doc(spark, sf):
 
 
 def _half(spark, sf, odd: int) -> DataFrame:
-    return lexicon_of(postings_of(tokens(documents(spark, sf).where(F.col("doc_id") % 2 == odd))))
+    return stats_of_runs(inverted(documents(spark, sf).where(F.col("doc_id") % 2 == odd)))
 
 
 @query("SELECT term, df, cf, maxtf FROM lex")
