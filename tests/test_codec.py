@@ -207,3 +207,26 @@ def test_index_in_many_parts_with_hard_keys(spark, monkeypatch):
     monkeypatch.setattr(runs, "GROUP", 5)  # in this process only
     found = [r for b in runs._inverted(runs._Ids({b"a": 0, b"b": 1}), [3, 3, 9], [np.array([0, 1], np.int32), np.array([1], np.int32), np.array([], np.int32)], 20) for r in b.to_pylist()]
     assert [(r["term"], r["base"], r["n"], r["cf"]) for r in found] == [(None, 3, 2, 3), ("a", 3, 1, 1), ("b", 3, 1, 2)]
+
+
+def test_tasks_grow_with_the_index(spark, monkeypatch):
+    """Windows by term or document, differences and the table function: in as many tasks as the postings need, and on the lists asked for only."""
+    from lexispark.operators import index as ops
+    from lexispark.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    few = catalogue.postings_ordinal(spark, sf).rdd.getNumPartitions()
+    monkeypatch.setattr(ops, "PART_ROWS", 5_000)
+    n = catalogue.index(spark, sf).parts()
+    assert n == 10 > few
+    plan = lambda f: f(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    for f in (catalogue.postings_ordinal, catalogue.freq_prefix_sums, catalogue.position_start_index, catalogue.docid_gaps, catalogue.direct_termid_gaps):
+        assert "RepartitionByExpression" in plan(f) and f", {n}" in plan(f), f.__name__
+    for f in (catalogue.next_geq_batch, catalogue.direct_next_geq, catalogue.inv_minus_dir, catalogue.dir_minus_inv):
+        assert f", {2 * n}" in plan(f), f.__name__
+    assert catalogue.inv_minus_dir(spark, sf).first()[0] == catalogue.dir_minus_inv(spark, sf).first()[0] == 0
+    a = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 3)], "termid long, docid long, tf long")
+    b = spark.createDataFrame([(1, 1, 1), (2, 1, 4)], a.schema)
+    assert catalogue._missing(a, b, 3).first()[0] == 3 and catalogue._missing(b, a, 3).first()[0] == 1 and catalogue._missing(a.limit(0), a, 3).first()[0] == 0
+    scan = catalogue.ef_udtf_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(df,100)" in scan  # lists are chosen as they are read
