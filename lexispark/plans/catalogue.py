@@ -274,15 +274,22 @@ _DIRECT = "(SELECT doc_id AS docid, termid, tf FROM (SELECT docid AS doc_id, ter
 
 @query(f"SELECT count(*)::BIGINT AS missing FROM (SELECT termid, docid, tf FROM post EXCEPT ALL SELECT termid, docid, tf FROM {_DIRECT})")
 def inv_minus_dir(spark, sf):
+def _missing(a: DataFrame, b: DataFrame, parts: int) -> DataFrame:
+    """How many rows (termid, docid, tf) of a are left when those of b are taken off, repeated ones one by one."""
+    both = a.select("termid", "docid", "tf", F.lit(1).alias("more")).unionByName(b.select("termid", "docid", "tf", F.lit(-1).alias("more")))
+    left = both.repartition(parts, "docid").groupBy("docid", "termid", "tf").agg(F.sum("more").alias("more"))
+    return left.agg(F.coalesce(F.sum(F.greatest("more", F.lit(0))), F.lit(0)).alias("missing"))
+
+
     """Postings of the stored inverted index that the encoded direct index doesn't have."""
     e = transposed(spark, sf)
-    return e.index().postings.select("termid", "docid", "tf").exceptAll(e.direct_lists().select("termid", "docid", "tf")).agg(F.count("*").alias("missing"))
+    return _missing(e.index().postings, e.direct_lists(), 2 * e.parts())
 
 
 @query(f"SELECT count(*)::BIGINT AS missing FROM (SELECT termid, docid, tf FROM {_DIRECT} EXCEPT ALL SELECT termid, docid, tf FROM post)")
 def dir_minus_inv(spark, sf):
     e = transposed(spark, sf)
-    return e.direct_lists().select("termid", "docid", "tf").exceptAll(e.index().postings.select("termid", "docid", "tf")).agg(F.count("*").alias("missing"))
+    return _missing(e.direct_lists(), e.index().postings, 2 * e.parts())
 
 
 @query("SELECT (SELECT sum(tf)::BIGINT FROM post) AS direct_tokens, (SELECT sum(cf)::BIGINT FROM lex) AS num_tokens, (SELECT sum(tf) FROM post) = (SELECT sum(cf) FROM lex) AS agrees")
