@@ -241,11 +241,12 @@ def inverted_iterator(spark, sf):
     """A full scan by a lexicon that also has the benchmark's terms: those without a posting in the documents are skipped and counted."""
     i = index(spark, sf)
     other = tokens(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id").select("term")
-    has = i.lexicon.select("term", F.lit(1).alias("has")).unionByName(other.select("term", F.lit(0).alias("has"))).groupBy("term").agg(F.max("has").cast("long").alias("has"))
-    kept = running_offsets(dense_ids(has, "term", "rank"), "rank", {"has": "at"}).where("has = 1").select("term", "rank", "at")
+    both = i.lexicon.select("term", "termid").unionByName(other.select("term", F.lit(None).cast("long").alias("termid")))
+    has = both.groupBy("term").agg(F.max("termid").alias("termid")).withColumn("has", F.col("termid").isNotNull().cast("long"))
+    kept = running_offsets(dense_ids(has, "term", "rank"), "rank", {"has": "at"}).where("has = 1").select("termid", "rank", "at")
     before = kept.select((F.col("at") + 1).alias("at"), F.col("rank").alias("previous"))
-    gaps = kept.join(before, "at", "left").select("term", (F.col("rank") - F.coalesce("previous", F.lit(-1)) - 1).alias("skipped"))
-    return i.postings.join(gaps, "term").select("term", "docid", "tf", "skipped")
+    gaps = kept.join(before, "at", "left").select("termid", (F.col("rank") - F.coalesce("previous", F.lit(-1)) - 1).alias("skipped"))
+    return i.by_term("term", "termid", "docid", "tf").join(gaps, "termid").select("term", "docid", "tf", "skipped")
 
 
 @query("SELECT docid, termid, tf FROM post")
