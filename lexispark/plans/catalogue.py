@@ -179,8 +179,8 @@ def position_gaps(spark, sf):
 
 @query("SELECT term, docid, coalesce(sum(tf) OVER (PARTITION BY term ORDER BY docid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM post")
 def position_start_index(spark, sf):
-    before = Window.partitionBy("term").orderBy("docid").rowsBetween(Window.unboundedPreceding, -1)
-    return index(spark, sf).postings.select("term", "docid", F.coalesce(F.sum("tf").over(before), F.lit(0)).alias("start"))
+    before = Window.partitionBy("termid").orderBy("docid").rowsBetween(Window.unboundedPreceding, -1)
+    return index(spark, sf).by_term("term", "termid", "docid", "tf").select("term", "docid", F.coalesce(F.sum("tf").over(before), F.lit(0)).alias("start"))
 
 
 @query("SELECT term, sum(lastpos)::BIGINT AS sum_last, sum(len(positions))::BIGINT AS n_positions, sum(tf) = sum(len(positions)) AS agrees FROM post GROUP BY 1")
@@ -191,20 +191,21 @@ def position_checks(spark, sf):
 
 @query("SELECT term, docid, docid - coalesce(lag(docid) OVER (PARTITION BY term ORDER BY docid), 0) AS gap FROM post")
 def docid_gaps(spark, sf):
-    before = F.lag("docid").over(Window.partitionBy("term").orderBy("docid"))
-    return index(spark, sf).postings.select("term", "docid", (F.col("docid") - F.coalesce(before, F.lit(0))).alias("gap"))
+    before = F.lag("docid").over(Window.partitionBy("termid").orderBy("docid"))
+    return index(spark, sf).by_term("term", "termid", "docid").select("term", "docid", (F.col("docid") - F.coalesce(before, F.lit(0))).alias("gap"))
 
 
 @query("SELECT term, docid, sum(tf - 1) OVER (PARTITION BY term ORDER BY docid ROWS UNBOUNDED PRECEDING)::BIGINT AS prefix FROM post")
 def freq_prefix_sums(spark, sf):
-    upto = Window.partitionBy("term").orderBy("docid").rowsBetween(Window.unboundedPreceding, 0)
-    return index(spark, sf).postings.select("term", "docid", F.sum(F.col("tf") - 1).over(upto).alias("prefix"))
+    upto = Window.partitionBy("termid").orderBy("docid").rowsBetween(Window.unboundedPreceding, 0)
+    return index(spark, sf).by_term("term", "termid", "docid", "tf").select("term", "docid", F.sum(F.col("tf") - 1).over(upto).alias("prefix"))
 
 
 @query("SELECT docid, termid, termid - coalesce(lag(termid) OVER (PARTITION BY docid ORDER BY termid), 0) AS gap FROM post")
 def direct_termid_gaps(spark, sf):
     before = F.lag("termid").over(Window.partitionBy("docid").orderBy("termid"))
-    return transposed(spark, sf).direct().select("docid", "termid", (F.col("termid") - F.coalesce(before, F.lit(0))).alias("gap"))
+    e = transposed(spark, sf)
+    return e.direct().select("docid", "termid").repartition(e.parts(), "docid").select("docid", "termid", (F.col("termid") - F.coalesce(before, F.lit(0))).alias("gap"))
 
 
 @query(f"SELECT term, docid, tf FROM post WHERE term = '{TERM}' AND docid = (SELECT min(docid) FROM post WHERE term = '{TERM}' AND docid >= {DOC})")
@@ -218,21 +219,21 @@ _NEXT = "SELECT term, docid, lead(docid) OVER (PARTITION BY term ORDER BY docid)
 @query(f"SELECT term, docid + 1 AS target, hit FROM ({_NEXT})")
 def next_geq_batch(spark, sf):
     """From just behind every posting, the next one of its term."""
-    p = index(spark, sf).postings
-    return next_geq(p, p.select("term", (F.col("docid") + 1).alias("target")), "term", "docid")
+    i = index(spark, sf)
+    return next_geq(i.postings, i.postings.select("term", (F.col("docid") + 1).alias("target")), "term", "docid", parts=2 * i.parts())
 
 
 @query(f"SELECT term, docid AS target, docid AS hit FROM ({_NEXT}) WHERE o % {K} = 0")
 def seek_into_every_k(spark, sf):
     """Seeks to every K-th posting land on it."""
     i = index(spark, sf)
-    return next_geq(i.postings, i.ordinals().where(F.col("ord") % K == 0).select("term", F.col("docid").alias("target")), "term", "docid")
+    return next_geq(i.postings, i.ordinals().where(F.col("ord") % K == 0).select("term", F.col("docid").alias("target")), "term", "docid", parts=2 * i.parts())
 
 
 @query(f"SELECT term, docid + 1 AS target, hit FROM ({_NEXT}) WHERE o % {K} = 0")
 def seek_after_every_k(spark, sf):
     i = index(spark, sf)
-    return next_geq(i.postings, i.ordinals().where(F.col("ord") % K == 0).select("term", (F.col("docid") + 1).alias("target")), "term", "docid")
+    return next_geq(i.postings, i.ordinals().where(F.col("ord") % K == 0).select("term", (F.col("docid") + 1).alias("target")), "term", "docid", parts=2 * i.parts())
 
 
 @query(f"""SELECT term, docid, tf, skipped FROM (SELECT term, (r - coalesce(lag(r) OVER (ORDER BY r), 0) - 1)::BIGINT AS skipped FROM (SELECT term, row_number() OVER (ORDER BY term) AS r, term IN (SELECT term FROM lex) AS has
@@ -261,8 +262,8 @@ def direct_doc(spark, sf):
 
 @query("SELECT docid, termid + 1 AS target, lead(termid) OVER (PARTITION BY docid ORDER BY termid) AS hit FROM post")
 def direct_next_geq(spark, sf):
-    d = transposed(spark, sf).direct()
-    return next_geq(d, d.select("docid", (F.col("termid") + 1).alias("target")), "docid", "termid")
+    e = transposed(spark, sf)
+    return next_geq(e.direct(), e.direct().select("docid", (F.col("termid") + 1).alias("target")), "docid", "termid", parts=2 * e.parts())
 
 
 @query("SELECT docid, termid, tf FROM post WHERE docid BETWEEN 10 AND 19")
@@ -273,8 +274,6 @@ def direct_docid_range(spark, sf):
 _DIRECT = "(SELECT doc_id AS docid, termid, tf FROM (SELECT docid AS doc_id, term, count(*)::BIGINT AS tf FROM tok GROUP BY ALL) JOIN lex USING (term))"
 
 
-@query(f"SELECT count(*)::BIGINT AS missing FROM (SELECT termid, docid, tf FROM post EXCEPT ALL SELECT termid, docid, tf FROM {_DIRECT})")
-def inv_minus_dir(spark, sf):
 def _missing(a: DataFrame, b: DataFrame, parts: int) -> DataFrame:
     """How many rows (termid, docid, tf) of a are left when those of b are taken off, repeated ones one by one."""
     both = a.select("termid", "docid", "tf", F.lit(1).alias("more")).unionByName(b.select("termid", "docid", "tf", F.lit(-1).alias("more")))
@@ -282,6 +281,8 @@ def _missing(a: DataFrame, b: DataFrame, parts: int) -> DataFrame:
     return left.agg(F.coalesce(F.sum(F.greatest("more", F.lit(0))), F.lit(0)).alias("missing"))
 
 
+@query(f"SELECT count(*)::BIGINT AS missing FROM (SELECT termid, docid, tf FROM post EXCEPT ALL SELECT termid, docid, tf FROM {_DIRECT})")
+def inv_minus_dir(spark, sf):
     """Postings of the stored inverted index that the encoded direct index doesn't have."""
     e = transposed(spark, sf)
     return _missing(e.index().postings, e.direct_lists(), 2 * e.parts())
